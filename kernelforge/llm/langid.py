@@ -24,9 +24,9 @@ from kernelforge.llm.text import blocks, per_row
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: Languages times buckets: 16 MB as float32. With more languages there are fewer buckets.
+#: Languages times buckets: 32 MB of doubles. With more languages there are fewer buckets.
 MAX_CELLS = 1 << 22
-_MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MUL = np.uint32(0x9E3779B1)
 _FOLD = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x600)], np.uint32)
 _FOLD[[i for i in range(0x600) if not chr(i).isalpha()]] = 32
 
@@ -42,26 +42,23 @@ def _points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points, n[off]
 
 
-def _buckets(points: np.ndarray, off: np.ndarray, order: int, shift: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each position; -1 where it would leave its text."""
-    n = len(points) - order + 1
-    if n <= 0:
-        return np.full(len(points), -1, np.int64)
-    folded = np.where(points < len(_FOLD), _FOLD[np.minimum(points, len(_FOLD) - 1)], points).astype(np.uint64)
-    h = np.full(n, order, np.uint64)
-    for j in range(order):
-        h = (h ^ folded[j : j + n]) * _MUL[j]
-        h ^= h >> np.uint64(29)
-    out = np.full(len(points), -1, np.int64)
-    out[:n] = (h * _MUL[0]) >> np.uint64(shift)
-    for j in range(1, order):
-        last = off[1:] - j
-        out[last[(last >= off[:-1])]] = -1
-    return out
+def _buckets(points: np.ndarray, off: np.ndarray, shift: int):
+    """For each order, the bucket of the n-gram that starts at each position; one past the last bucket where it would leave its text."""
+    folded = np.where(points < len(_FOLD), _FOLD[np.minimum(points, len(_FOLD) - 1)], points)
+    h, outside = np.full(len(folded), 0x811C9DC5, np.uint32), 1 << (32 - shift)
+    for j in range(len(ORDERS)):
+        h = (h[: len(folded) - j] ^ folded[j:]) * _MUL
+        h ^= h >> np.uint32(15)
+        out = np.full(len(folded), outside, np.int32)
+        out[: len(h)] = (h * _MUL) >> np.uint32(shift)
+        for k in range(1, j + 1):
+            last = off[1:] - k
+            out[last[last >= off[:-1]]] = outside
+        yield out
 
 
 class Model:
-    """languages, and log-probabilities [bucket, language] with class priors."""
+    """languages, and log-probabilities [language, bucket] with class priors."""
 
     def __init__(self, languages: list[str], shift: int, table: np.ndarray, prior: np.ndarray) -> None:
         self.languages, self.shift, self.table, self.prior = languages, shift, table, prior
@@ -74,20 +71,20 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text: str = "text", l
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_CELLS >> 8).collect()}
     languages = sorted(count)
     if not languages:
-        return Model([], 64, np.zeros((0, 0), np.float32), np.zeros(0))
+        return Model([], 32, np.zeros((0, 0)), np.zeros(0))
     bits = min(BUCKETS.bit_length() - 1, max(8, (MAX_CELLS // len(languages)).bit_length() - 1))
-    width, shift, number = 1 << bits, 64 - bits, {x: i for i, x in enumerate(languages)}
+    width, shift, number = 1 << bits, 32 - bits, {x: i for i, x in enumerate(languages)}
 
     def counts(batches):
-        total = np.zeros(len(languages) * width, np.int64)
+        total = np.zeros((len(languages), width + 1), np.int64)
         for batch in batches:
-            of = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            of = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for i, j, buf, off in blocks(batch):
                 points, at = _points(buf, off)
-                base = np.repeat(of[i:j], np.diff(at)) * width
-                for order in ORDERS:
-                    b = _buckets(points, at, order, shift)
-                    total += np.bincount((base + b)[(b >= 0) & (base >= 0)], minlength=len(total))
+                base = np.repeat(of[i:j] * (width + 1), np.diff(at))
+                for b in _buckets(points, at, shift):
+                    total += np.bincount(base + b, minlength=total.size).reshape(total.shape)
+        total = np.ascontiguousarray(total[:, :width]).reshape(-1)
         cell = np.flatnonzero(total)
         for k in range(0, len(cell), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + (1 << 16)]), pa.array(total[cell[k : k + (1 << 16)]])], ["cell", "n"])
@@ -96,9 +93,9 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text: str = "text", l
     total = np.zeros(len(languages) * width)
     total[found["cell"].to_numpy()] = found["n"].to_numpy()
     smooth = total.reshape(len(languages), width) + 0.5
-    table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    table = np.pad(np.log(smooth / smooth.sum(axis=1, keepdims=True)), ((0, 0), (0, 1)))  # nothing for n-grams that leave their text
     docs_of = np.array([count[x] for x in languages], float)
-    return Model(languages, shift, np.ascontiguousarray(table), np.log(docs_of / docs_of.sum()))
+    return Model(languages, shift, table, np.log(docs_of / docs_of.sum()))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
@@ -113,15 +110,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "lang
             best, post, margin = np.full(len(batch), n_lang), np.zeros(len(batch)), np.zeros(len(batch))
             for i, j, buf, off in blocks(batch, text):
                 points, at = _points(buf, off)
-                alpha = per_row(np.add, m["letters"][points].astype(np.int64), at, 0) > 0
+                alpha = per_row(np.logical_or, m["letters"][points], at, False)
                 if not n_lang or not alpha.any():
                     continue
                 ll = np.tile(m["prior"], (j - i, 1))
-                for order in ORDERS:
-                    b = _buckets(points, at, order, m["shift"])
-                    inside = b >= 0
-                    ends = np.concatenate(([0], np.cumsum(inside)))[at]
-                    ll += per_row(np.add, m["table"][b[inside]].astype(np.float64), ends, 0.0)
+                for b in _buckets(points, at, m["shift"]):
+                    for k, column in enumerate(m["table"]):
+                        ll[:, k] += per_row(np.add, column[b], at, 0.0)
                 top = ll.argmax(axis=1)
                 p = np.exp(ll - ll.max(axis=1, keepdims=True))
                 second = np.partition(ll, -2, axis=1)[:, -2] if n_lang > 1 else ll.max(axis=1) - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelforge.llm import decontaminate, langid, lm, mixing, neardup
+from kernelforge.llm import ann, chat, decontaminate, langid, licenses, lm, mixing, neardup, pii, substrings
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +45,46 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_lm_scoring, op3_mix_sources, op4_minhash_neardup, op6_decontamination, op7_language_id)}
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove(read(spark, sf_dir, "documents"))
+    size = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
+
+
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_ann_search, op5_pii_spans)}
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+REPLY = {"reply": {"properties": {"text": "string"}, "required": ["text"]}}
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as calls: each user turn calls ``reply`` under an identifier of its own, which the next assistant turn answers."""
+    rows = read(spark, sf_dir, "conversations")
+    ident = F.format_string("%d-%d", "conv_id", "turn")
+    call = F.array(F.struct(ident.alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), F.expr("cast(null as array<string>)").alias("depends_on")))
+    rows = rows.withColumn("calls", F.when(F.col("role") == "user", call)).withColumn("result_for", F.when((F.col("role") == "assistant") & (F.col("turn") > 0), F.format_string("%d-%d", "conv_id", F.col("turn") - 1)))
+    return chat.link(rows, REPLY)
+
+
+QUERIES |= {f.__name__: f for f in (op8_license_scan, op9_chat_format)}

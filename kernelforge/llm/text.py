@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Most texts in a block have numbers of so many bits; a shingle's value has the other 52.
+ROW_BITS = 12
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 
@@ -39,6 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+LOWER_VALUE = BYTE_VALUE[LOWER]
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
@@ -91,12 +94,12 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of parts of a batch, of about ``limit`` bytes of whole texts."""
+def blocks(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 18, rows: int = 1 << ROW_BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of parts of a batch, of about ``limit`` bytes (what caches hold) of whole texts."""
     buf, off = string_buffer(batch.column(name))
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
@@ -118,7 +121,7 @@ def words(buf: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.
 def word_hashes(buf: np.ndarray, off: np.ndarray, separators: np.ndarray, p: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of the words, A-Z lower-cased."""
     row, start, end = words(buf, off, separators)
-    c = prefix_hash(BYTE_VALUE[LOWER[buf]], p)
+    c = prefix_hash(LOWER_VALUE[buf], p)
     return row, start, end, span_hash(c, start, end, p)
 
 
@@ -137,7 +140,7 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_sets(row: np.ndarray, h: np.ndarray, n_rows: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word shingles of each row: (values sorted by row and value, offsets of n_rows + 1).
+    """Distinct word shingles of at most 2 ** ROW_BITS rows: (52-bit values in the high bits, sorted by row and value; offsets of n_rows + 1).
 
     A row of fewer than ``size`` words has the whole sequence as its one shingle;
     a row without words has none.
@@ -156,14 +159,11 @@ def shingle_sets(row: np.ndarray, h: np.ndarray, n_rows: int, size: int = 5) ->
                 acc += mix(h[first[short] + j] ^ _SHINGLE[j]) * (_SHINGLE[j] | U64(1))
             values.append(mix(acc ^ U64(n)))
             rows.append(short)
-    v, r = np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((v, r))
-    v, r = v[order], r[order]
-    if len(v):
-        keep = np.ones(len(v), bool)
-        keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-        v, r = v[keep], r[keep]
-    return v, np.searchsorted(r, np.arange(n_rows + 1))
+    rest = U64(64 - ROW_BITS)
+    both = np.sort(np.concatenate([(r.astype(U64) << rest) | (v >> U64(ROW_BITS)) for v, r in zip(values, rows, strict=True)]))
+    if len(both):
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    return both << U64(ROW_BITS), np.searchsorted(both, np.arange(n_rows + 1, dtype=U64) << rest if n_rows < 1 << ROW_BITS else np.concatenate((np.arange(n_rows, dtype=U64) << rest, [U64(2**64 - 1)])))
 
 
 def per_row(ufunc, values: np.ndarray, offsets: np.ndarray, empty):
