@@ -1,0 +1,153 @@
+"""Compressed kernel operators on a HODLR plan, without stored factors.
+
+Each node has a skeleton of at most ``rank`` of its points, by a hash of the id.
+A sibling block is K(X_m, S_n) W+ K(S_m, X_n) with W = K(S_m, S_n): points send K(S_m, x_j) w_j into their
+sibling's sum (aggregated before the shuffle), the small vectors pass W+, and points
+read K(x_i, S_n) times it. Joins are equi-joins on node numbers; nothing is
+broadcast, and a task holds one node's skeleton at a time. Leaves are dense.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from kernelforge.functions.kernels import block
+from kernelforge.operators.blocks_algebra import pinv
+from kernelforge.options import Options
+from kernelforge.plans.cluster import cluster
+from kernelforge.shared import written
+
+
+class Compressed:
+    """A kernel matrix over points (id, x), clustered and with its skeletons written once."""
+
+    def __init__(self, points: DataFrame, kernel: str, h: float, diagonal: float = 0.0, options: Options = Options()) -> None:
+        self.kernel, self.h, self.diagonal, self.options = kernel, h, diagonal, options
+        self.points = written(cluster(points.select("id", "x"), options.leaf, options.order))
+        self.depth = self.points.agg(F.max("depth")).first()[0] or 0
+        if self.depth:
+            every = self._ancestors(self.points)
+            pick = Window.partitionBy("node").orderBy(F.xxhash64("id"), "id")
+            self.skeleton = written(every.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= options.rank).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("s")).select("node", F.col("s.x").alias("s")))
+
+    def _ancestors(self, points: DataFrame) -> DataFrame:
+        """A row for each point and each node above it but the root."""
+        level = F.explode(F.sequence(F.lit(1), F.lit(self.depth)))
+        return points.withColumn("level", level).withColumn("node", F.shiftright("node", 0) if self.depth == 0 else F.expr(f"node div cast(pow(2, {self.depth} - level) as bigint)")).drop("level")
+
+    def multiply(self, w: DataFrame) -> DataFrame:
+        """id, y of the matrix times w (id, w)."""
+        kernel, h, diagonal, tol = self.kernel, self.h, self.diagonal, self.options.tol
+        points = self.points.join(w.select("id", "w"), "id")
+
+        def leaf(t: pa.Table) -> pa.Table:
+            x = np.array(t["x"].to_pylist(), float)
+            return pa.table({"id": t["id"], "y": (block(kernel, x, x, h) + diagonal * np.eye(len(x))) @ t["w"].to_numpy()})
+
+        out = points.select("node", "id", "x", "w").groupBy("node").applyInArrow(leaf, "id long, y double")
+        if self.depth:
+            sibling = F.col("node") + 1 - 2 * (F.col("node") % 2)
+            sent = self._ancestors(points.select("id", "x", "w", "node")).withColumn("to", sibling).drop("node")
+            other = self.skeleton.select(F.col("node").alias("to"), "s")
+
+            def send(batches):
+                for batch in batches:
+                    to, x, w_ = batch.column("to").to_numpy(), np.array(batch.column("x").to_pylist(), float), batch.column("w").to_numpy()
+                    skel = batch.column("s")
+                    for node in np.unique(to):
+                        at = np.flatnonzero(to == node)
+                        v = block(kernel, np.array(skel[int(at[0])].as_py(), float), x[at], h) @ w_[at]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), node)), pa.array(np.arange(len(v))), pa.array(v)], ["to", "k", "v"])
+
+            sums = sent.join(other, "to").mapInArrow(send, "to long, k long, v double").groupBy("to", "k").agg(F.sum("v").alias("v"))
+            sums = sums.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("t")).select("to", F.col("t.v").alias("t"))
+            pairs = sums.join(other, "to").join(self.skeleton.select((sibling).alias("to"), F.col("s").alias("far")), "to")
+
+            def middle(batches):
+                for batch in batches:
+                    out_ = [pinv(block(kernel, np.array(r["s"]), np.array(r["far"]), h), tol) @ np.array(r["t"]) for r in batch.to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column("to"), batch.column("far"), pa.array([x.tolist() for x in out_], pa.list_(pa.float64()))], ["node", "far", "c"])
+
+            coefficient = pairs.mapInArrow(middle, "node long, far array<array<double>>, c array<double>")
+
+            def read(batches):
+                for batch in batches:
+                    node, x, y = batch.column("node").to_numpy(), np.array(batch.column("x").to_pylist(), float), np.zeros(len(batch))
+                    for n in np.unique(node):
+                        at = np.flatnonzero(node == n)
+                        y[at] = block(kernel, x[at], np.array(batch.column("far")[int(at[0])].as_py(), float), h) @ np.array(batch.column("c")[int(at[0])].as_py())
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(y)], ["id", "y"])
+
+            got = self._ancestors(points.select("id", "x", "node")).join(coefficient, "node").mapInArrow(read, "id long, y double")
+            out = out.union(got)
+        return out.groupBy("id").agg(F.sum("y").alias("y"))
+
+    def leaf_solve(self, b: DataFrame) -> DataFrame:
+        """Block-Jacobi preconditioner: each leaf's dense block solved; b has id and w."""
+        kernel, h, diagonal = self.kernel, self.h, self.diagonal
+
+        def solve(t: pa.Table) -> pa.Table:
+            x = np.array(t["x"].to_pylist(), float)
+            return pa.table({"id": t["id"], "w": np.linalg.solve(block(kernel, x, x, h) + diagonal * np.eye(len(x)), t["w"].to_numpy())})
+
+        return self.points.select("id", "x", "node").join(b.select("id", "w"), "id").groupBy("node").applyInArrow(solve, "id long, w double")
+
+    def conjugate_gradient(self, b: DataFrame, tol: float | None = None, most: int | None = None) -> tuple[DataFrame, list[float]]:
+        """Solve for a positive definite kernel; vectors stay tables, scalars alone come to the driver."""
+        tol, most = tol or self.options.tol_solve, most or self.options.max_iter
+        state = written(b.select("id", F.lit(0.0).alias("x"), F.col("w").cast("double").alias("r")))
+        size = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+        if size == 0:
+            return state.select("id", F.col("x").alias("w")), [0.0]
+        z = self.leaf_solve(state.select("id", F.col("r").alias("w"))).withColumnRenamed("w", "z")
+        state = written(state.join(z, "id").withColumn("p", F.col("z")))
+        rz, history = state.agg(F.sum(F.col("r") * F.col("z"))).first()[0], []
+        for _ in range(most):
+            q = self.multiply(state.select("id", F.col("p").alias("w"))).withColumnRenamed("y", "q")
+            state = written(state.join(q, "id"))
+            alpha = rz / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+            state = state.select("id", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
+            z = self.leaf_solve(state.select("id", F.col("r").alias("w"))).withColumnRenamed("w", "z")
+            state = written(state.join(z, "id"))
+            rz_new, rr = state.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("r") * F.col("r"))).first()
+            history.append((rr / size) ** 0.5)
+            if history[-1] <= tol:
+                break
+            state, rz = state.withColumn("p", F.col("z") + (rz_new / rz) * F.col("p")).drop("z"), rz_new
+        return state.select("id", F.col("x").alias("w")), history
+
+    def largest_eigenvalue(self, rounds: int = 20) -> float:
+        """Power iteration from the vector of ones."""
+        v, value = self.points.select("id", F.lit(1.0).alias("w")), 0.0
+        for _ in range(rounds):
+            y = written(self.multiply(v))
+            norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
+            size = v.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
+            value = norm / size
+            v = y.select("id", (F.col("y") / norm).alias("w"))
+        return value
+
+    def error(self, w: DataFrame, sample: int = 20) -> float:
+        """Relative error of the product at some points, against exact rows."""
+        from kernelforge.operators.dense import multiply
+
+        some = self.points.orderBy(F.xxhash64("id")).limit(sample).select("id", "x")
+        exact = multiply(some, self.points.join(w, "id").select("id", "x", "w"), self.kernel, self.h, self.diagonal).withColumnRenamed("y", "e")
+        got = self.multiply(w).join(exact, "id").agg(F.sqrt(F.sum(F.pow(F.col("y") - F.col("e"), 2)) / F.sum(F.col("e") * F.col("e")))).first()
+        return got[0]
+
+
+def ridge_fit(train: DataFrame, kernel: str, h: float, ridge: float, options: Options = Options()) -> DataFrame:
+    """Weights (id, x, w) of kernel ridge regression on (id, x, label)."""
+    a = Compressed(train, kernel, h, ridge, options)
+    w, _ = a.conjugate_gradient(train.select("id", F.col("label").cast("double").alias("w")))
+    return train.select("id", "x").join(w, "id")
+
+
+def ridge_predict(points: DataFrame, weights: DataFrame, kernel: str, h: float) -> DataFrame:
+    from kernelforge.operators.dense import multiply
+
+    return multiply(points, weights, kernel, h).withColumn("label", F.signum("y").cast("int"))

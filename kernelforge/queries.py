@@ -1,5 +1,139 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, with their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kernelforge.operators import dense
+from kernelforge.operators.compressed import Compressed
+from kernelforge.options import Options
+from kernelforge.plans import blocks
+from kernelforge.plans.cluster import cluster, tree
+from kernelforge.sources import points
+
+FLAGSHIP = "hodlr_multiply_parts"
+_D = "list_distance(a.x, b.x)"
+_EMB = "WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM embeddings)"
+#: kernel -> (h, SQL of the entry for rows a and b)
+FORMS = {
+    "rbf": (1.0, f"CASE WHEN {_D}*{_D} > 138.15510557964274 THEN 0.0 ELSE exp(-{_D}*{_D}/2.0) END"),
+    "power4": (1.0, f"pow({_D}, 8)"),
+    "multiquadric": (0.5, f"sqrt({_D}*{_D} + 0.5)"),
+    "inverse_multiquadric": (0.5, f"1.0/sqrt({_D}*{_D} + 0.5)"),
+    "polynomial": (1.0, "pow(list_dot_product(a.x, b.x) + 1.0, 2)"),
+    "laplacian": (1.0, f"exp(-{_D})"),
+    "inverse_distance": (1.0, f"CASE WHEN a.id = b.id THEN 1.0 ELSE 1.0/{_D} END"),
+    "helmholtz_re": (2.0, f"CASE WHEN a.id = b.id THEN 1.0 ELSE cos(2.0*{_D})/{_D} END"),
+    "helmholtz_im": (2.0, f"CASE WHEN a.id = b.id THEN 0.0 ELSE -sin(2.0*{_D})/{_D} END"),
+    "fourier_re": (1.0, "cos(2*pi()*list_dot_product(a.x, b.x))"),
+    "fourier_im": (1.0, "-sin(2*pi()*list_dot_product(a.x, b.x))"),
+}
+
+
+def _multiply(kernel: str, h: float):
+    def query(spark, sf_dir: str) -> DataFrame:
+        p = points.embeddings(spark, sf_dir)
+        return dense.multiply(p, p, kernel, h).select("id", F.round("y", 3).alias("y"))
+
+    return query
+
+
+def norms(spark, sf_dir: str) -> DataFrame:
+    return dense.norms(points.embeddings(spark, sf_dir), "rbf", 1.0).select(*(F.round(c, 4).alias(c) for c in ("frobenius", "one", "infinity", "max")))
+
+
+def extract(spark, sf_dir: str) -> DataFrame:
+    p = points.embeddings(spark, sf_dir)
+    asked = p.select(F.col("id").alias("i"), ((F.col("id") * 7) % 500).alias("j"))
+    return dense.extract(p, asked, "laplacian", 1.0, 0.5).select("i", "j", F.round("v", 6).alias("v"))
+
+
+def nearest(spark, sf_dir: str) -> DataFrame:
+    p = points.embeddings(spark, sf_dir)
+    return dense.nearest(p, p.where("id % 20 = 0"), 8).select("id", "rank", "other", F.round("d2", 6).alias("d2"))
+
+
+def gram_distance(spark, sf_dir: str) -> DataFrame:
+    from kernelforge.functions.kernels import entry, gram_distance
+
+    p = points.embeddings(spark, sf_dir)
+    a, b = p.select(F.col("id").alias("i"), F.col("x").alias("xi")), p.select(F.col("id").alias("j"), F.col("x").alias("xj"))
+    z = lambda u, v: entry("polynomial", F.col(u), F.col(v), 1.0)
+    return a.withColumn("j", (F.col("i") * 3 + 1) % 500).join(b, "j").select("i", "j", F.round(gram_distance(z("xi", "xj"), z("xi", "xi"), z("xj", "xj")), 6).alias("d"))
+
+
+def _cluster(order: str):
+    def query(spark, sf_dir: str) -> DataFrame:
+        return cluster(points.parts(spark, sf_dir), 60, order).select("id", "node", "new_id")
+
+    return query
+
+
+def tree_shape(spark, sf_dir: str) -> DataFrame:
+    t = tree(cluster(points.parts(spark, sf_dir), 60, "natural"))
+    return t.select("node", "level", "n", F.round(F.element_at("center", 1), 6).alias("c1"), F.round(F.element_at("center", 2), 6).alias("c2"), F.round("radius", 6).alias("radius"))
+
+
+def hodlr_plan(spark, sf_dir: str) -> DataFrame:
+    return blocks.hodlr(tree(cluster(points.parts(spark, sf_dir), 60, "ckd")))
+
+
+def h_plan(spark, sf_dir: str) -> DataFrame:
+    t = tree(cluster(points.parts(spark, sf_dir), 60, "ckd"))
+    return blocks.report(blocks.hierarchical(t, 2.1), t)
+
+
+def blr_plan(spark, sf_dir: str) -> DataFrame:
+    t = tree(cluster(points.parts(spark, sf_dir), 60, "ckd"))
+    return blocks.hierarchical(t, 2.1, start=2, blr=True)
+
+
+def near_nearest(spark, sf_dir: str) -> DataFrame:
+    c = cluster(points.parts(spark, sf_dir), 60, "ckd")
+    return dense.near_nearest(c, blocks.near_leaves(tree(c), 20.0), 5)
+
+
+def hodlr_multiply_parts(spark, sf_dir: str) -> DataFrame:
+    p = points.parts(spark, sf_dir)
+    return Compressed(p, "inverse_multiquadric", 1.0, 0.0, Options(leaf=100, rank=60)).multiply(p)
+
+
+def hodlr_solve(spark, sf_dir: str) -> DataFrame:
+    p = points.parts(spark, sf_dir)
+    x, history = Compressed(p, "rbf", 0.3, 5.0, Options(leaf=100)).conjugate_gradient(p, 1e-6, 30)
+    return x.select("id", F.round("w", 4).alias("w"))
+
+
+QUERIES = {f"multiply_{k}": _multiply(k, h) for k, (h, _) in FORMS.items()}
+QUERIES |= {f"cluster_{k}": _cluster(k) for k in ("natural", "ckd", "tm")}
+QUERIES |= {f.__name__: f for f in (norms, extract, nearest, gram_distance, tree_shape, hodlr_plan, h_plan, blr_plan, near_nearest, hodlr_multiply_parts, hodlr_solve)}
+
+
+def _split_sql(levels: int, key: str, extra: str = "") -> str:
+    """Common table expressions l0 .. of (id, x1, x2, node), each level split at its groups' medians."""
+    out = "WITH l0 AS (SELECT p_partkey AS id, p_size/50.0 AS x1, p_retailprice/2000.0 AS x2, 1::BIGINT AS node FROM part)"
+    for k in range(levels):
+        out += f", k{k} AS (SELECT *, {key} AS key FROM (SELECT *, max(x1) OVER g - min(x1) OVER g AS e1, max(x2) OVER g - min(x2) OVER g AS e2 FROM l{k} WINDOW g AS (PARTITION BY node)))"
+        out += f", l{k + 1} AS (SELECT id, x1, x2, node*2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY key, id) > (count(*) OVER (PARTITION BY node) + 1)//2 THEN 1 ELSE 0 END AS node FROM k{k})"
+    return out
+
+
+def _levels_sql(key: str, rows: str) -> str:
+    """The unrolled tree at whichever depth the table has, 0 to 8."""
+    parts = [f"SELECT * FROM l{k} WHERE (SELECT {'true' if k == 0 else f'n >> {k - 1} > 60'} AND n >> {k} <= 60 FROM (SELECT count(*) AS n FROM part))" for k in range(9)]
+    return f"{_split_sql(8, key)}, leaf AS ({' UNION ALL '.join(parts)}), {rows}"
+
+
+_CKD, _NAT = "CASE WHEN e1 >= e2 THEN x1 ELSE x2 END", "id"
+_ORDER = "last AS (SELECT *, {} AS key FROM (SELECT *, max(x1) OVER g - min(x1) OVER g AS e1, max(x2) OVER g - min(x2) OVER g AS e2 FROM leaf WINDOW g AS (PARTITION BY node))) SELECT id, node, row_number() OVER (ORDER BY node, key, id) AS new_id FROM last"
+ORACLE_SQL = {f"multiply_{k}": f"{_EMB} SELECT a.id, round(sum(({v}) * b.w), 3) AS y FROM p a, p b GROUP BY a.id" for k, (_, v) in FORMS.items()}
+ORACLE_SQL |= {
+    "cluster_ckd": _levels_sql(_CKD, _ORDER.format(_CKD)),
+    "cluster_natural": _levels_sql(_NAT, _ORDER.format(_NAT)),
+    "norms": f"{_EMB}, k AS (SELECT a.id AS i, b.id AS j, {FORMS['rbf'][1]} AS v FROM p a, p b) SELECT round(sqrt(sum(v*v)), 4) AS frobenius, (SELECT round(max(s), 4) FROM (SELECT sum(abs(v)) AS s FROM k GROUP BY j)) AS one, (SELECT round(max(s), 4) FROM (SELECT sum(abs(v)) AS s FROM k GROUP BY i)) AS infinity, round(max(abs(v)), 4) AS max FROM k",
+    "extract": f"{_EMB} SELECT a.id AS i, b.id AS j, round(exp(-{_D}) + CASE WHEN a.id = b.id THEN 0.5 ELSE 0 END, 6) AS v FROM p a JOIN p b ON b.id = (a.id * 7) % 500",
+    "nearest": f"{_EMB} SELECT id, rank::INT AS rank, other, round(d2, 6) AS d2 FROM (SELECT a.id, b.id AS other, {_D}*{_D} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS rank FROM p a, p b WHERE a.id % 20 = 0 AND a.id <> b.id) WHERE rank <= 8",
+    "gram_distance": f"{_EMB} SELECT a.id AS i, b.id AS j, round(1 - pow(list_dot_product(a.x,b.x)+1.0, 4)/(pow(list_dot_product(a.x,a.x)+1.0, 2)*pow(list_dot_product(b.x,b.x)+1.0, 2)), 6) AS d FROM p a JOIN p b ON b.id = (a.id * 3 + 1) % 500",
+    "hodlr_plan": "WITH d AS (SELECT min(k)::INT AS depth FROM (SELECT count(*) AS n FROM part), range(0, 40) t(k) WHERE n >> k <= 60) SELECT node_m, node_m + 1 - 2 * (node_m % 2) AS node_n, floor(log2(node_m))::INT AS level, 'low_rank' AS kind FROM d, range(2, 1000000) r(node_m) WHERE node_m < (2 << depth) UNION ALL SELECT m, m, depth + 1, 'dense' FROM d, range(1, 1000000) r(m) WHERE m >= (1 << depth) AND m < (2 << depth)",
+}

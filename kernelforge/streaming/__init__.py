@@ -1,0 +1 @@
+"""No operator of this engine is a stream: matrices are static. Structured Streaming sources can feed ``sources.points`` unchanged."""
