@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernelforge.functions.kernels import block
+from kernelforge.operators import solvers
 from kernelforge.operators.blocks_algebra import pinv
 from kernelforge.options import Options
 from kernelforge.plans.cluster import cluster
@@ -127,6 +128,13 @@ class Compressed:
             state, rz = state.withColumn("p", F.col("z") + (rz_new / rz) * F.col("p")).drop("z"), rz_new
         return state.select("id", F.col("x").alias("w")), history
 
+    def solve(self, b: DataFrame, method: str = "gmres", leaves: bool = False, **given) -> tuple[DataFrame, list[float]]:
+        """Solve by gmres, tfqmr or refine (which needs leaves); no symmetry is assumed."""
+        given = {"tol": self.options.tol_solve, "most": self.options.max_iter} | given
+        if leaves:
+            given["precondition"] = lambda v: self.leaf_solve(v).withColumnRenamed("w", "y")
+        return solvers.solve(self.multiply, b, method, **given)
+
     def largest_eigenvalue(self, rounds: int = 20) -> float:
         """Power iteration from the vector of ones."""
         v, value = self.points.select("id", F.lit(1.0).alias("w")), 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelforge.operators import dense
+from kernelforge.operators import dense, solvers
 from kernelforge.operators.compressed import Compressed
 from kernelforge.options import Options
 from kernelforge.plans import blocks
@@ -105,9 +105,40 @@ def hodlr_solve(spark, sf_dir: str) -> DataFrame:
     return x.select("id", F.round("w", 4).alias("w"))
 
 
+def _ridge(p: DataFrame, ridge: float):
+    """The exact kernel matrix of p plus a ridge, as an operator."""
+    return lambda v: dense.multiply(p, p.select("id", "x").join(v, "id"), "rbf", 1.0, ridge)
+
+
+def _solve(method: str):
+    def query(spark, sf_dir: str) -> DataFrame:
+        """The matrix times the solution, which gives the right-hand side back."""
+        p = points.embeddings(spark, sf_dir)
+        operator = _ridge(p, 20.0)
+        x, _ = solvers.solve(operator, p.select("id", "w"), method, tol=1e-7, most=60)
+        return operator(x).select("id", F.round("y", 3).alias("y"))
+
+    return query
+
+
+def composed(spark, sf_dir: str) -> DataFrame:
+    """2 (K + I) K w + w / 2, by composed operators."""
+    p = points.embeddings(spark, sf_dir)
+    k = _ridge(p, 0.0)
+    made = solvers.added((2.0, solvers.chained(solvers.shifted(k, 1.0), k)), (0.5, solvers.identity))
+    return made(p.select("id", "w")).select("id", F.round("y", 3).alias("y"))
+
+
+def eigenvalues(spark, sf_dir: str) -> DataFrame:
+    p = points.embeddings(spark, sf_dir)
+    values, _ = solvers.eigenpairs(_ridge(p, 0.0), p.select("id"), 3, 12)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "rank int, value double").select("rank", F.round("value", 3).alias("value"))
+
+
 QUERIES = {f"multiply_{k}": _multiply(k, h) for k, (h, _) in FORMS.items()}
 QUERIES |= {f"cluster_{k}": _cluster(k) for k in ("natural", "ckd", "tm")}
-QUERIES |= {f.__name__: f for f in (norms, extract, nearest, gram_distance, tree_shape, hodlr_plan, h_plan, blr_plan, near_nearest, hodlr_multiply_parts, hodlr_solve)}
+QUERIES |= {f.__name__: f for f in (norms, extract, nearest, gram_distance, tree_shape, hodlr_plan, h_plan, blr_plan, near_nearest, hodlr_multiply_parts, hodlr_solve, composed, eigenvalues)}
+QUERIES |= {f"solve_{m}": _solve(m) for m in ("gmres", "tfqmr")}
 
 
 def _split_sql(levels: int, key: str, extra: str = "") -> str:
@@ -125,6 +156,10 @@ def _levels_sql(key: str, rows: str) -> str:
     return f"{_split_sql(8, key)}, leaf AS ({' UNION ALL '.join(parts)}), {rows}"
 
 
+_TREE = "every AS (SELECT x1, x2, node >> k AS node FROM leaf, range(0, 9) r(k) WHERE node >> k >= 1), mid AS (SELECT node, count(*) AS n, avg(x1) AS c1, avg(x2) AS c2 FROM every GROUP BY node), tree AS (SELECT node, floor(log2(node))::INT AS level, any_value(n) AS n, any_value(c1) AS c1, any_value(c2) AS c2, max(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2))) AS radius FROM every JOIN mid USING (node) GROUP BY node)"
+_FAR = "sqrt(pow(a.c1 - b.c1, 2) + pow(a.c2 - b.c2, 2)) > 2.1 * (a.radius + b.radius) / 2"
+_HALVES = f"known AS (SELECT a.node AS m, b.node AS n, a.level, {_FAR} AS far FROM tree a, tree b WHERE a.level = b.level)"
+_NEAR = " AND ".join(f"NOT EXISTS (FROM known u WHERE u.m = k.m >> {i} AND u.n = k.n >> {i} AND u.level = k.level - {i} AND u.far)" for i in range(1, 9))
 _CKD, _NAT = "CASE WHEN e1 >= e2 THEN x1 ELSE x2 END", "id"
 _ORDER = "last AS (SELECT *, {} AS key FROM (SELECT *, max(x1) OVER g - min(x1) OVER g AS e1, max(x2) OVER g - min(x2) OVER g AS e2 FROM leaf WINDOW g AS (PARTITION BY node))) SELECT id, node, row_number() OVER (ORDER BY node, key, id) AS new_id FROM last"
 ORACLE_SQL = {f"multiply_{k}": f"{_EMB} SELECT a.id, round(sum(({v}) * b.w), 3) AS y FROM p a, p b GROUP BY a.id" for k, (_, v) in FORMS.items()}
@@ -135,5 +170,11 @@ ORACLE_SQL |= {
     "extract": f"{_EMB} SELECT a.id AS i, b.id AS j, round(exp(-{_D}) + CASE WHEN a.id = b.id THEN 0.5 ELSE 0 END, 6) AS v FROM p a JOIN p b ON b.id = (a.id * 7) % 500",
     "nearest": f"{_EMB} SELECT id, rank::INT AS rank, other, round(d2, 6) AS d2 FROM (SELECT a.id, b.id AS other, {_D}*{_D} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS rank FROM p a, p b WHERE a.id % 20 = 0 AND a.id <> b.id) WHERE rank <= 8",
     "gram_distance": f"{_EMB} SELECT a.id AS i, b.id AS j, round(1 - pow(list_dot_product(a.x,b.x)+1.0, 4)/(pow(list_dot_product(a.x,a.x)+1.0, 2)*pow(list_dot_product(b.x,b.x)+1.0, 2)), 6) AS d FROM p a JOIN p b ON b.id = (a.id * 3 + 1) % 500",
+    "tree_shape": _levels_sql(_NAT, f"{_TREE} SELECT node, level, n, round(c1, 6) AS c1, round(c2, 6) AS c2, round(radius, 6) AS radius FROM tree"),
+    "h_plan": _levels_sql(_CKD, f"{_TREE}, {_HALVES}, plan AS (SELECT m, n, level, CASE WHEN far THEN 'low_rank' ELSE 'dense' END AS kind FROM known k WHERE (far OR level = (SELECT max(level) FROM tree)) AND {_NEAR}) SELECT p.level, kind, count(*) AS blocks, sum(a.n * b.n)::BIGINT AS entries FROM plan p JOIN tree a ON a.node = p.m JOIN tree b ON b.node = p.n GROUP BY p.level, kind"),
+    "blr_plan": _levels_sql(_CKD, f"{_TREE}, {_HALVES} SELECT m AS node_m, n AS node_n, level, CASE WHEN far THEN 'low_rank' ELSE 'dense' END AS kind FROM known WHERE level = 2"),
+    "solve_gmres": f"{_EMB} SELECT id, w AS y FROM p",
+    "solve_tfqmr": f"{_EMB} SELECT id, w AS y FROM p",
+    "composed": f"{_EMB}, k AS (SELECT a.id AS i, b.id AS j, {FORMS['rbf'][1]} AS v FROM p a, p b), u AS (SELECT i AS id, sum(v * w) AS y FROM k JOIN p ON p.id = j GROUP BY i), z AS (SELECT i AS id, sum(v * y) AS y FROM k JOIN u ON u.id = j GROUP BY i) SELECT id, round(2 * (z.y + u.y) + p.w / 2, 3) AS y FROM z JOIN u USING (id) JOIN p USING (id)",
     "hodlr_plan": "WITH d AS (SELECT min(k)::INT AS depth FROM (SELECT count(*) AS n FROM part), range(0, 40) t(k) WHERE n >> k <= 60) SELECT node_m, node_m + 1 - 2 * (node_m % 2) AS node_n, floor(log2(node_m))::INT AS level, 'low_rank' AS kind FROM d, range(2, 1000000) r(node_m) WHERE node_m < (2 << depth) UNION ALL SELECT m, m, depth + 1, 'dense' FROM d, range(1, 1000000) r(m) WHERE m >= (1 << depth) AND m < (2 << depth)",
 }

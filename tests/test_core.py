@@ -4,7 +4,7 @@ import pytest
 from kernelforge import queries
 from kernelforge.functions import kernels
 from kernelforge.operators import blocks_algebra as la
-from kernelforge.operators import compressed, dense
+from kernelforge.operators import compressed, dense, solvers
 from kernelforge.options import Options
 from kernelforge.plans import blocks
 from kernelforge.plans.cluster import cluster, depth_of, tree
@@ -23,7 +23,7 @@ def same(spark, name):
     return sorted(tuple(r[c] for c in cols) for r in df.collect()), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["multiply_rbf", "multiply_helmholtz_im", "norms", "nearest", "cluster_ckd", "hodlr_plan"])
+@pytest.mark.parametrize("name", ["multiply_rbf", "multiply_helmholtz_im", "norms", "nearest", "cluster_ckd", "tree_shape", "h_plan", "blr_plan", "composed", "hodlr_plan"])
 def test_sql(spark, name):
     got, want = same(spark, name)
     assert got == want
@@ -94,3 +94,37 @@ def test_near_neighbours(cloud):
     got = dense.near_nearest(c, blocks.near_leaves(tree(c), 20.0), 4).collect()
     exact = {(r.id, r.other) for r in dense.nearest(df, df, 4).collect()}
     assert len(got) == 1600 and len({(r.id, r.other) for r in got} & exact) > 1500
+
+
+def _operator(spark, a):
+    """A small dense matrix as an operator on (id, w)."""
+    rows = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(a)], "id long, j long, v double").cache()
+    return lambda v: rows.join(v.select(F.col("id").alias("j"), "w"), "j").groupBy("id").agg(F.sum(F.col("v") * F.col("w")).alias("y"))
+
+
+def _vector(df, n, name="w"):
+    found = {r.id: r[name] for r in df.collect()}
+    return np.array([found[i] for i in range(n)])
+
+
+@pytest.mark.parametrize("method", ["gmres", "tfqmr", "refine"])
+def test_solvers(spark, method):
+    rnd = np.random.default_rng(3)
+    a, w = np.eye(20) * 3 + rnd.random((20, 20)) / 10, rnd.random(20)
+    b = spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double")
+    given = {"restart": 3} if method == "gmres" else {"precondition": lambda v: v.select("id", (F.col("w") / 3.2).alias("y"))} if method == "refine" else {}
+    x, history = solvers.solve(_operator(spark, a), b, method, tol=1e-5, most=40, **given)
+    assert history[-1] <= 1e-5 and np.allclose(_vector(x, 20), np.linalg.solve(a, w), atol=1e-4)
+    x, history = solvers.solve(_operator(spark, a), b.withColumn("w", F.lit(0.0)), method)
+    assert history == [0.0] and not _vector(x, 20).any()
+
+
+def test_eigenpairs(spark):
+    rnd = np.random.default_rng(4)
+    a = rnd.random((10, 10))
+    a = a + a.T
+    values, vectors = solvers.eigenpairs(_operator(spark, a), spark.range(10), 2, 10)
+    want = np.linalg.eigvalsh(a)
+    want = want[np.argsort(-np.abs(want))[:2]]
+    v = _vector(vectors, 10, "v0")
+    assert np.allclose(values, want) and np.allclose(a @ v, values[0] * v)
