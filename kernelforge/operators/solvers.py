@@ -164,19 +164,23 @@ def solve(operator: Operator, b: DataFrame, method: str = "gmres", **given) -> t
     return METHODS[method](operator, b, **given)
 
 
-def eigenpairs(operator: Operator, ids: DataFrame, n: int = 4, steps: int = 30, symmetric: bool = True, seed: int = 42) -> tuple[np.ndarray, DataFrame | None]:
-    """The n Ritz values of largest size, and for symmetric operators the vectors (id, v0 ..), after ``steps`` Arnoldi steps."""
+def eigenpairs(operator: Operator, ids: DataFrame, n: int = 4, steps: int = 60, tol: float = 1e-8, symmetric: bool = True, seed: int = 42) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """The n eigenvalues of largest size, for symmetric operators their vectors (id, v0 ..), and each pair's residual over its value.
+
+    Arnoldi steps end once all n residuals are at most ``tol``; with the steps used up, the residuals tell what has not converged.
+    """
     start = written(ids.select("id", (F.xxhash64(F.lit(seed), "id") / F.lit(float(2**63))).alias("w")))
     size = _dots(start, ("w", "w"))[0] ** 0.5
-    basis, h, k = start.select("id", (F.col("w") / F.lit(size or 1.0)).alias("v0")), np.zeros((steps + 1, steps)), 0
+    basis, h = start.select("id", (F.col("w") / F.lit(size or 1.0)).alias("v0")), np.zeros((steps + 1, steps))
     for k in range(steps):
         basis, h[: k + 1, k], h[k + 1, k] = _extend(basis, operator, k)
-        if h[k + 1, k] == 0:
+        small = h[: k + 1, : k + 1]
+        values, vectors = np.linalg.eigh((small + small.T) / 2) if symmetric else np.linalg.eig(small)
+        top = np.argsort(-np.abs(values))[:n]
+        errors = h[k + 1, k] * np.abs(vectors[-1, top]) / np.maximum(np.abs(values[top]), 1e-300)
+        if h[k + 1, k] == 0 or (len(top) == n and errors.max() <= tol):
             break
-    small = h[: k + 1, : k + 1]
-    values, vectors = np.linalg.eigh((small + small.T) / 2) if symmetric else np.linalg.eig(small)
-    top = np.argsort(-np.abs(values))[:n]
     if not symmetric:
-        return values[top], None
+        return values[top], None, errors
     names = [f"v{j}" for j in range(k + 1)]
-    return values[top], written(basis.select("id", *(_sum(vectors[:, t], names).alias(f"v{i}") for i, t in enumerate(top))))
+    return values[top], written(basis.select("id", *(_sum(vectors[:, t], names).alias(f"v{i}") for i, t in enumerate(top)))), errors

@@ -130,9 +130,10 @@ def composed(spark, sf_dir: str) -> DataFrame:
 
 
 def eigenvalues(spark, sf_dir: str) -> DataFrame:
-    p = points.embeddings(spark, sf_dir)
-    values, _ = solvers.eigenpairs(_ridge(p, 0.0), p.select("id"), 3, 12)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "rank int, value double").select("rank", F.round("value", 3).alias("value"))
+    """The three largest, each with whether it has converged."""
+    p = points.parts(spark, sf_dir)
+    values, _, errors = solvers.eigenpairs(_ridge(p, 0.0), p.select("id"), 3, 40, 1e-7)
+    return spark.createDataFrame([(i + 1, float(v), bool(e <= 1e-7)) for i, (v, e) in enumerate(zip(values, errors, strict=True))], "rank int, value double, converged boolean").select("rank", F.round("value", 3).alias("value"), "converged")
 
 
 QUERIES = {f"multiply_{k}": _multiply(k, h) for k, (h, _) in FORMS.items()}
@@ -159,6 +160,7 @@ def _levels_sql(key: str, rows: str) -> str:
 _TREE = "every AS (SELECT x1, x2, node >> k AS node FROM leaf, range(0, 9) r(k) WHERE node >> k >= 1), mid AS (SELECT node, count(*) AS n, avg(x1) AS c1, avg(x2) AS c2 FROM every GROUP BY node), tree AS (SELECT node, floor(log2(node))::INT AS level, any_value(n) AS n, any_value(c1) AS c1, any_value(c2) AS c2, max(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2))) AS radius FROM every JOIN mid USING (node) GROUP BY node)"
 _FAR = "sqrt(pow(a.c1 - b.c1, 2) + pow(a.c2 - b.c2, 2)) > 2.1 * (a.radius + b.radius) / 2"
 _HALVES = f"known AS (SELECT a.node AS m, b.node AS n, a.level, {_FAR} AS far FROM tree a, tree b WHERE a.level = b.level)"
+_CLOSE = _HALVES.replace("2.1", "20.0")
 _NEAR = " AND ".join(f"NOT EXISTS (FROM known u WHERE u.m = k.m >> {i} AND u.n = k.n >> {i} AND u.level = k.level - {i} AND u.far)" for i in range(1, 9))
 _CKD, _NAT = "CASE WHEN e1 >= e2 THEN x1 ELSE x2 END", "id"
 _ORDER = "last AS (SELECT *, {} AS key FROM (SELECT *, max(x1) OVER g - min(x1) OVER g AS e1, max(x2) OVER g - min(x2) OVER g AS e2 FROM leaf WINDOW g AS (PARTITION BY node))) SELECT id, node, row_number() OVER (ORDER BY node, key, id) AS new_id FROM last"
@@ -173,8 +175,9 @@ ORACLE_SQL |= {
     "tree_shape": _levels_sql(_NAT, f"{_TREE} SELECT node, level, n, round(c1, 6) AS c1, round(c2, 6) AS c2, round(radius, 6) AS radius FROM tree"),
     "h_plan": _levels_sql(_CKD, f"{_TREE}, {_HALVES}, plan AS (SELECT m, n, level, CASE WHEN far THEN 'low_rank' ELSE 'dense' END AS kind FROM known k WHERE (far OR level = (SELECT max(level) FROM tree)) AND {_NEAR}) SELECT p.level, kind, count(*) AS blocks, sum(a.n * b.n)::BIGINT AS entries FROM plan p JOIN tree a ON a.node = p.m JOIN tree b ON b.node = p.n GROUP BY p.level, kind"),
     "blr_plan": _levels_sql(_CKD, f"{_TREE}, {_HALVES} SELECT m AS node_m, n AS node_n, level, CASE WHEN far THEN 'low_rank' ELSE 'dense' END AS kind FROM known WHERE level = 2"),
-    "solve_gmres": f"{_EMB} SELECT id, w AS y FROM p",
-    "solve_tfqmr": f"{_EMB} SELECT id, w AS y FROM p",
+    "near_nearest": _levels_sql(_CKD, f"{_TREE}, {_CLOSE}, near AS (SELECT m, n FROM known k WHERE NOT far AND level = (SELECT max(level) FROM tree) AND {_NEAR}), met AS (SELECT a.id, b.id AS other, (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) AS d2 FROM near JOIN leaf a ON a.node = m JOIN leaf b ON b.node = n WHERE a.id <> b.id) SELECT id, rank, other, d2 FROM (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY d2, other))::INT AS rank FROM met) WHERE rank <= 5"),
+    "solve_gmres": f"{_EMB} SELECT id, w::DOUBLE AS y FROM p",
+    "solve_tfqmr": f"{_EMB} SELECT id, w::DOUBLE AS y FROM p",
     "composed": f"{_EMB}, k AS (SELECT a.id AS i, b.id AS j, {FORMS['rbf'][1]} AS v FROM p a, p b), u AS (SELECT i AS id, sum(v * w) AS y FROM k JOIN p ON p.id = j GROUP BY i), z AS (SELECT i AS id, sum(v * y) AS y FROM k JOIN u ON u.id = j GROUP BY i) SELECT id, round(2 * (z.y + u.y) + p.w / 2, 3) AS y FROM z JOIN u USING (id) JOIN p USING (id)",
     "hodlr_plan": "WITH d AS (SELECT min(k)::INT AS depth FROM (SELECT count(*) AS n FROM part), range(0, 40) t(k) WHERE n >> k <= 60) SELECT node_m, node_m + 1 - 2 * (node_m % 2) AS node_n, floor(log2(node_m))::INT AS level, 'low_rank' AS kind FROM d, range(2, 1000000) r(node_m) WHERE node_m < (2 << depth) UNION ALL SELECT m, m, depth + 1, 'dense' FROM d, range(1, 1000000) r(m) WHERE m >= (1 << depth) AND m < (2 << depth)",
 }

@@ -123,8 +123,16 @@ def test_eigenpairs(spark):
     rnd = np.random.default_rng(4)
     a = rnd.random((10, 10))
     a = a + a.T
-    values, vectors = solvers.eigenpairs(_operator(spark, a), spark.range(10), 2, 10)
+    values, vectors, errors = solvers.eigenpairs(_operator(spark, a), spark.range(10), 2, 10)
     want = np.linalg.eigvalsh(a)
     want = want[np.argsort(-np.abs(want))[:2]]
     v = _vector(vectors, 10, "v0")
-    assert np.allclose(values, want) and np.allclose(a @ v, values[0] * v)
+    assert errors.max() <= 1e-8 and np.allclose(values, want) and np.allclose(a @ v, values[0] * v)
+
+
+def test_eigenvalue_query(spark):
+    rows = queries.points.parts(spark, SF).collect()
+    x = np.array([r.x for r in rows], float)
+    want = np.linalg.eigvalsh(kernels.block("rbf", x, x, 1.0))[::-1][:3]
+    got = queries.eigenvalues(spark, SF).orderBy("rank").collect()
+    assert all(r.converged for r in got) and np.allclose([r.value for r in got], want, atol=1e-3)
