@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernelforge.functions.kernels import block, entry
@@ -61,8 +61,8 @@ def extract(points: DataFrame, requests: DataFrame, kernel: str, h: float, diago
     return requests.join(a, "i").join(b, "j").select("i", "j", v.alias("v"))
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, size: int = 512) -> DataFrame:
-    """id, rank, other, d2: each query's exact k nearest other points, ties to smaller ids."""
+def _least(pairs: DataFrame, k: int) -> DataFrame:
+    """id, rank, other, d2 from pairs of tiles (rows, cols): a tile pair sends at most k candidates a row to the shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -75,17 +75,18 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, size: int = 512) -> D
                 ok = np.isfinite(d[rows, best.reshape(-1)])
                 yield pa.RecordBatch.from_arrays([pa.array(i[rows][ok]), pa.array(j[best.reshape(-1)][ok]), pa.array(d[rows, best.reshape(-1)][ok])], ["id", "other", "d2"])
 
-    from pyspark.sql import Window
-
-    found = _tile_pairs(queries, points, size).mapInArrow(run, "id long, other long, d2 double")
+    found = pairs.mapInArrow(run, "id long, other long, d2 double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).where(F.col("rank") <= k).select("id", "rank", "other", "d2")
 
 
-def near_nearest(clustered: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """id, rank, other, d2 with candidates from near leaf pairs only; leaves are bounded, pairs are equi-joined."""
-    from pyspark.sql import Window
+def nearest(points: DataFrame, queries: DataFrame, k: int, size: int = 512) -> DataFrame:
+    """id, rank, other, d2: each query's exact k nearest other points, ties to smaller ids."""
+    return _least(_tile_pairs(queries, points, size).select("rows", "cols"), k)
 
-    a = clustered.select(F.col("node").alias("node_m"), "id", "x").join(near, "node_m")
-    both = a.join(clustered.select(F.col("node").alias("node_n"), F.col("id").alias("other"), F.col("x").alias("y")), "node_n").where("id <> other")
-    d2 = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    return both.select("id", "other", d2.alias("d2")).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))).where(F.col("rank") <= k).select("id", "rank", "other", "d2")
+
+def near_nearest(clustered: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """id, rank, other, d2 with candidates from near leaf pairs only; a leaf, bounded by the tree, is a tile."""
+    leaves = clustered.groupBy("node").agg(F.collect_list(F.struct("id", "x")).alias("members"))
+    pairs = near.join(leaves.select(F.col("node").alias("node_m"), F.col("members").alias("rows")), "node_m")
+    pairs = pairs.join(leaves.select(F.col("node").alias("node_n"), F.col("members").alias("cols")), "node_n")
+    return _least(pairs.select("rows", "cols"), k)
