@@ -9,7 +9,8 @@ corpus; slices of at most SLICE_BYTES are broadcast, each in a pass of its own
 over the texts, so no broadcast grows with the data and no n-gram is dropped.
 
 The model: P(w) = (c(w) + 1) / (N + V + 1), P(w | h) = (c(hw) + MU P(w)) / (c(h) + MU),
-with counts read from the filter. The reference score ``base_score`` uses exact
+with counts read from the filter; the history of a text's first token is the start of a text,
+so its c(h) is the exact number of training texts. The reference score ``base_score`` uses exact
 counts: frequent words (at most HEAD of them) from a broadcast dictionary, all
 others by a join on their hash.
 
@@ -183,10 +184,12 @@ def score(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str =
     pieces = max(12, 3 * docs.rdd.getNumPartitions())
     words = table(_counts(train, "text", False).groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # Each training text has one end token.
+    texts = words.where(F.col("h") == int(_END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     head = words.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()  # a cache of bounded size
     h, c = head["h"].to_numpy().view(U64), head["c"].to_numpy()
     order = np.argsort(h)
-    dictionary = spark.sparkContext.broadcast((h[order], c[order], float(total), float(distinct)))
+    dictionary = spark.sparkContext.broadcast((h[order], c[order], float(total), float(distinct), float(texts)))
     singles = table(build(words, pieces), "word-filter")
     pairs = table(build(_counts(train, "text", True), pieces), "pair-filter")
     small = [f.arrays() for f in _slices(spark, singles, pieces)]
@@ -218,7 +221,7 @@ def _pass(rows: DataFrame, dictionary, words: list, pairs, first: bool) -> DataF
 
     def run(batches):
         p = Powers()
-        known_h, known_c, total, distinct = dictionary.value
+        known_h, known_c, total, distinct, texts = dictionary.value
         for batch in batches:
             for i, j, buf, off in blocks(batch):
                 t, at = _tokens(buf, off, p)
@@ -233,7 +236,7 @@ def _pass(rows: DataFrame, dictionary, words: list, pairs, first: bool) -> DataF
                 single = ((approx + 1) / (total + distinct + 1))[inverse]
                 history = np.empty(len(t))
                 history[1:] = approx[inverse[:-1]]
-                history[at[:-1]] = total / max(1.0, distinct)
+                history[at[:-1]] = texts
                 seen = np.minimum(estimate(q), history)
                 term = np.where(q < 0, 0.0, np.log10(np.maximum((seen + MU * single) / (history + MU), 1e-300)))
                 out = {"lm": per_row(np.add, term, at, 0.0), "pairs": per_row(np.add, (q > 0).astype(np.int64), at, 0)}
