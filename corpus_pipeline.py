@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kernelforge.llm import decontaminate, langid, mixing, neardup, pii
 from kernelforge.llm.shared import join_small, table
 
+#: Similarity of near copies, in hundredths (op4 has one of its own).
+NEAR = 80
 #: No SQL states naive Bayes or MD5-seeded Poisson draws in full; tests hold run() against the stages' brute-force forms.
 ORACLE_SQL = None
 
@@ -25,7 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least id stays; of rows that repeat an id, one."""
-    gone = table(neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "duplicates")
+    gone = table(neardup.near_duplicates(docs, threshold=NEAR).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "duplicates")
     return join_small(docs, gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 

@@ -1,13 +1,13 @@
 """MinHash near-duplicates by an LSH forest.
 
 1. One pass makes each document's set of distinct word shingles, its fingerprint
-   and TREES labels of DEPTH MinHash values. Documents with equal sets form one
+   and the trees' labels of DEPTH MinHash values. Documents with equal sets form one
    class and go on as its smallest id.
 2. Each tree is one sorted order of the labels, range-partitioned, so no region
    is too large for it. Neighbours whose common prefix reaches DEPTH stand in one region
    and are candidates. Regions that share documents unite to candidate clusters
-   (ids only, star contraction). At a similarity of 0.85 a pair misses all regions
-   with probability (1 - 0.85**5)**20 < 1e-5.
+   (ids only, star contraction). There are as many trees as it takes for a pair at
+   the threshold s to miss all regions with probability (1 - s**5)**trees < MISS: 20 at 0.85, 29 at 0.8.
 3. Each cluster's texts meet once and its exact components are searched breadth
    first on full shingle sets, where a document already reached is not compared
    again, so a dense group of n copies costs about n comparisons. The depth adapts
@@ -22,6 +22,8 @@ are one node of the graph and return a row each; extra columns play no part.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +33,17 @@ from kernelforge.llm.graph import components
 from kernelforge.llm.shared import join_small, table
 from kernelforge.llm.text import SPACE, U64, Powers, blocks, mix, per_row, shingle_sets, word_hashes
 
-TREES, DEPTH = 20, 5
+DEPTH, MISS = 5, 1e-5
 THRESHOLD = 85  # hundredths
 #: Shingles that one task compares in memory.
 CHUNK = 4_000_000
 #: Probes that meet a chunk at once.
 PROBES = 2_000
-_SEEDS = mix(np.arange(7001, 7001 + TREES * DEPTH, dtype=U64)) | U64(1)
+
+
+def trees(threshold: int) -> int:
+    """Trees that all miss a pair at the threshold with probability MISS at most."""
+    return 1 if threshold >= 100 else math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** DEPTH)))
 
 
 def _sets(batch, p: Powers, size: int):
@@ -46,8 +52,9 @@ def _sets(batch, p: Powers, size: int):
         yield i, j, *shingle_sets(row, h, j - i, size)
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, size: int, n_trees: int) -> DataFrame:
     """key, n_shingles, f1 and f2 (fingerprint of the set), regions (a hashed label for each tree; none for an empty set)."""
+    seeds = mix(np.arange(7001, 7001 + n_trees * DEPTH, dtype=U64)) | U64(1)
 
     def run(batches):
         p = Powers()
@@ -55,13 +62,13 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             for i, j, v, at in _sets(batch, p, size):
                 n = np.diff(at)
                 f1, f2 = per_row(np.add, mix(v), at, U64(0)), per_row(np.add, mix(v ^ U64(0x5851F42D4C957F2D)), at, U64(0))
-                labels = np.zeros((j - i, TREES), U64)
-                for t in range(TREES):
+                labels = np.zeros((j - i, n_trees), U64)
+                for t in range(n_trees):
                     acc = np.full(j - i, t + 1, U64)
                     for d in range(DEPTH):
-                        acc = mix(acc ^ per_row(np.minimum, v * _SEEDS[t * DEPTH + d], at, U64(0)))
+                        acc = mix(acc ^ per_row(np.minimum, v * seeds[t * DEPTH + d], at, U64(0)))
                     labels[:, t] = acc
-                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, TREES, 0)))).astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, n_trees, 0)))).astype(np.int32)
                 flat = labels[n > 0].reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(i, j - i), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "n_shingles", "f1", "f2", "regions"]
@@ -184,7 +191,7 @@ def _read(t: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable over links), kept (key is its component's smallest)."""
-    sigs = table(signatures(docs, key, text, size), "signatures")
+    sigs = table(signatures(docs, key, text, size, trees(threshold)), "signatures")
     classes = sigs.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("key").alias("rep"))
     classes = table(classes, "classes")
     every = sigs.join(classes, ["f1", "f2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "key"))
