@@ -37,8 +37,8 @@ LOOSE = {
     "card": r"(?<![0-9-])(?<![0-9] )[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![ -]?[0-9])",
     "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
-#: A character without which a text can hold no match.
-NEEDS = {"email": ("@", "at"), "ip": (".", ":"), "card": ("", ""), "phone": ("+", "-")}
+#: What every match of the base and of the looser form holds, as regular expressions: a text without it is not searched.
+NEEDS = {"email": ("@", "at"), "ip": (r"\.", ":"), "card": ("[0-9][ -]?[0-9]", "[0-9]{4}"), "phone": (r"\+", "[.-]")}
 GAZETTEER = {
     "email": "e-?mail|mail|contact|kontakt|correo|courriel|write to",
     "ip": "ip|address|host|server|adresse|direcci[oó]n",
@@ -97,7 +97,7 @@ def proposals(docs: DataFrame, text: str = "text", into: str = "proposed") -> Da
     def of(k: str, pattern: str, need: str, base: bool) -> Column:
         spans = _spans(whole, pattern)
         spans = F.filter(spans, lambda x: _passes(k, x["text"])) if base else spans
-        return F.when(whole.rlike("[0-9]{2}") if k == "card" else F.contains(whole, F.lit(need)), F.transform(spans, lambda x: _votes(k, whole, x, base)).cast(kind)).otherwise(none)
+        return F.when(whole.rlike(need), F.transform(spans, lambda x: _votes(k, whole, x, base)).cast(kind)).otherwise(none)
 
     docs = docs.drop(into).withColumn("__base", F.concat(*(of(k, BASE[k], NEEDS[k][0], True) for k in KINDS)))
     loose = F.concat(*(of(k, LOOSE[k], NEEDS[k][1], False) for k in KINDS))

@@ -33,6 +33,14 @@ def test_base_spans(spark):
     assert pii.find(spark.createDataFrame([], "i int, text string")).count() == 0
 
 
+def test_prefilters_drop_no_match(spark):
+    """A card without two adjacent digits, and loose phones without a hyphen in the text."""
+    rows = list(enumerate(["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "x 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "tel 555.123.4567", "call (555) 123.4567 now"]))
+    got = {r.i: [(pii.KINDS[x.kind], x.start, x.end, x.base) for x in r.proposed] for r in pii.proposals(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert got == {0: [("card", 0, 31, True)], 1: [("card", 2, 33, True)], 2: [("phone", 4, 16, False)], 3: [("phone", 5, 19, False)]}
+    assert [[f"card:{a}:{b}" for _, a, b, _ in got[i]] for i in (0, 1)] == [base(t) for _, t in rows[:2]]
+
+
 def test_query_on_table(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op5_pii_spans(spark, d).collect()}
