@@ -26,9 +26,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays; of rows that repeat an id, one."""
-    gone = table(neardup.near_duplicates(docs, threshold=NEAR).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "duplicates")
-    return join_small(docs, gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """Of each group of near-duplicates the document of least id stays; of rows that repeat an id, the least.
+
+    Rows without an id take part one by one, as if their ids came after all others: copies of them go too.
+    """
+    names, last = docs.columns, docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    unnamed = docs.where("doc_id is null").withColumn("__key", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1))
+    docs = docs.where("doc_id is not null").withColumn("__key", F.col("doc_id").cast("long")).unionByName(table(unnamed, "unnamed"))
+    gone = table(neardup.near_duplicates(docs, key="__key", threshold=NEAR).where("not kept").select(F.col("__key").alias("__id")).distinct(), "duplicates")
+    repeated = table(docs.groupBy(F.col("__key").alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    left = join_small(docs, gone, docs["__key"] == gone["__id"], "left_anti")
+    if not repeated.limit(1).count():
+        return left.select(*names)
+    single = join_small(left, repeated, left["__key"] == repeated["__id"], "left_anti")
+    several = join_small(left, repeated, left["__key"] == repeated["__id"], "left_semi")
+    # A least row is combined within tasks, so an id of very many rows is no load for one of them.
+    one = several.groupBy("__key").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return single.select(*names).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from kernelforge.llm import neardup
 from test_neardup import brute
@@ -16,3 +18,15 @@ def test_near_copies_at_80(spark):
     assert kept == [r[0] for r in want if r[3]]
     assert all((1 - (t / 100) ** neardup.DEPTH) ** neardup.trees(t) <= neardup.MISS for t in (50, 80, 85, 100))
     assert neardup.trees(neardup.THRESHOLD) == 20
+
+
+def test_repeated_and_null_ids(spark, docs):
+    """Of rows that share an id one stays, and rows without an id that copy others go; every other group keeps its least id."""
+    schema, rows = docs.schema, [tuple(r) for r in docs.collect()]
+    by_id = {r[0]: r for r in rows}
+    rows += [by_id[0], by_id[0], by_id[114], (0, "zz", *by_id[0][2:]), (None, *by_id[114][1:]), *[(None, "only here, with no id at all", *by_id[0][2:])] * 3, *[(None, *by_id[110][1:])] * 2]
+    got = [tuple(r) for r in corpus_pipeline.neardup_stage(spark, spark.createDataFrame(rows, schema).repartition(3), "").collect()]
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], corpus_pipeline.NEAR)
+    assert Counter(r[0] for r in got if r[0] is not None) == Counter({r[0] for r in want if r[3]})
+    assert Counter(r[1] for r in got if r[0] is None) == {"only here, with no id at all": 1, None: 2}
+    assert [r[1] for r in got if r[0] == 0] == [min(by_id[0][1], "zz")]
