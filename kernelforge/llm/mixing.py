@@ -31,13 +31,22 @@ def cumulative(rate: float) -> list[float]:
     """P(X <= k) of a Poisson distribution for k = 0, 1, ... until it is 1 to within 1e-13."""
     if rate <= 0:
         return [1.0]
-    term = total = math.exp(-min(rate, 700.0))
-    out, k = [total], 0
-    while total < 1 - 1e-13 and k < 20 * (rate + 10):
+    # Terms as ratios to the likeliest one, downwards and upwards from it: none underflows that counts, at any rate.
+    mode = int(rate)
+    terms = [1.0]
+    for k in range(mode, 0, -1):
+        terms.append(terms[-1] * k / rate)
+    terms.reverse()
+    k = mode
+    while terms[-1] > 1e-20:
         k += 1
-        term *= rate / k
+        terms.append(terms[-1] * rate / k)
+    whole, total, out = math.fsum(terms), 0.0, []
+    for term in terms:
         total += term
-        out.append(total)
+        out.append(total / whole)
+        if out[-1] >= 1 - 1e-13:
+            break
     return out
 
 

@@ -124,3 +124,16 @@ def test_mix(spark, docs, none):
     out = mixing.mix(docs, {"hot": 1, None: 2, "a": 0}).collect()
     assert Counter(r.doc_id for r in out) == +want
     assert mixing.mix(none).count() == 0
+
+
+def test_mix_large_rates(spark):
+    for rate in (0.01, 1.0, 699.0, 701.0, 1000.0, 5000.0):
+        cdf = mixing.cumulative(rate)
+        assert abs(sum(1 - p for p in cdf) - rate) < 1e-6 * max(1, rate)  # the mean
+        assert abs(sum((2 * k + 1) * (1 - p) for k, p in enumerate(cdf)) - rate * rate - rate) < 1e-4 * max(1, rate)  # the second moment
+        assert all(0 <= a <= b <= 1 + 1e-12 for a, b in zip(cdf, cdf[1:], strict=False))
+        exact = math.exp(int(rate) * math.log(rate) - rate - math.lgamma(int(rate) + 1))
+        assert abs(cdf[int(rate)] - (cdf[int(rate) - 1] if rate >= 1 else 0) - exact) < 1e-9
+    rows = spark.range(10_000).selectExpr("id as doc_id", "'t' as text", "if(id < 2, 'rare', 'rest') as source")
+    got = Counter(r.source for r in mixing.mix(rows, {"rare": 1, "rest": 1}).select("source").collect())
+    assert abs(got["rare"] - 5000) < 5 * math.sqrt(5000)
