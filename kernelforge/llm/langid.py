@@ -8,7 +8,8 @@ numpy. Whole texts count.
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if there is nothing to learn from. Rows pass through one by one, so
 repeated rows get the same result and an empty table gives an empty one. Ties go
-to the language first in alphabetical order. An input column named like the
+to the language first in alphabetical order. More than MAX_LANGUAGES languages are an
+error, raised before any text is counted. An input column named like the
 result column is replaced.
 """
 
@@ -26,6 +27,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Languages times buckets: 32 MB of doubles. With more languages there are fewer buckets.
 MAX_CELLS = 1 << 22
+#: Languages that leave 256 buckets each; more are an error.
+MAX_LANGUAGES = MAX_CELLS >> 8
 _MUL = np.uint32(0x9E3779B1)
 _FOLD = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x600)], np.uint32)
 _FOLD[[i for i in range(0x600) if not chr(i).isalpha()]] = 32
@@ -68,7 +71,9 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text: str = "text", l
     """Learn from the rows where ``learn_from`` holds and text and lang are not null."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = (rows if learn_from is None else rows.where(learn_from)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_CELLS >> 8).collect()}
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(count) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct values of {lang} to learn from; clean the column or narrow learn_from")
     languages = sorted(count)
     if not languages:
         return Model([], 32, np.zeros((0, 0)), np.zeros(0))

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from kernelforge.llm import decontaminate, langid, lm, mixing, queries
 from pyspark.sql import functions as F
 
@@ -137,3 +138,9 @@ def test_mix_large_rates(spark):
     rows = spark.range(10_000).selectExpr("id as doc_id", "'t' as text", "if(id < 2, 'rare', 'rest') as source")
     got = Counter(r.source for r in mixing.mix(rows, {"rare": 1, "rest": 1}).select("source").collect())
     assert abs(got["rare"] - 5000) < 5 * math.sqrt(5000)
+
+
+def test_too_many_languages(spark):
+    rows = spark.range(langid.MAX_LANGUAGES + 1).selectExpr("'a' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="more than 16384 distinct values of lang"):
+        langid.fit(rows)
