@@ -1,17 +1,17 @@
-"""MinHash near-duplicates by an LSH forest.
+"""MinHash near-duplicates by LSH bands of fixed depth (not an LSH forest: labels are hashed whole and have no prefix).
 
 1. One pass makes each document's set of distinct word shingles, its fingerprint
    and the trees' labels of DEPTH MinHash values. Documents with equal sets form one
    class and go on as its smallest id.
 2. Each tree is one sorted order of the labels, range-partitioned, so no region
-   is too large for it. Neighbours whose common prefix reaches DEPTH stand in one region
+   is too large for it. Documents that agree in all DEPTH values of a label stand in one region
    and are candidates. Regions that share documents unite to candidate clusters
    (ids only, star contraction). There are as many trees as it takes for a pair at
    the threshold s to miss all regions with probability (1 - s**5)**trees < MISS: 20 at 0.85, 29 at 0.8.
 3. Each cluster's texts meet once and its exact components are searched breadth
    first on full shingle sets, where a document already reached is not compared
-   again, so a dense group of n copies costs about n comparisons. The depth adapts
-   per region: a cluster over CHUNK shingles is cut further, into chunks by hash, and what the cuts
+   again, so a dense group of n copies costs about n comparisons. A
+   cluster over CHUNK shingles is cut into chunks by hash, and what the cuts
    part is recovered exactly: leaders of the chunks' components, then
    all documents outside the cluster's largest component, are compared with every chunk.
 
