@@ -14,7 +14,8 @@ from kernelforge.llm.shared import join_small, table
 
 #: Similarity of near copies, in hundredths (op4 has one of its own).
 NEAR = 80
-#: No SQL states naive Bayes or MD5-seeded Poisson draws in full; tests hold run() against the stages' brute-force forms.
+#: No SQL states naive Bayes or MD5-seeded Poisson draws in full; a test holds run(), from what the
+#: language stage keeps on, against plain code; that stage itself is held to held-out accuracy (op7).
 ORACLE_SQL = None
 
 
