@@ -1,13 +1,14 @@
-"""MinHash near-duplicates by LSH bands of fixed depth (not an LSH forest: labels are hashed whole and have no prefix).
+"""MinHash near-duplicates by an LSH forest.
 
 1. One pass makes each document's set of distinct word shingles, its fingerprint
-   and the trees' labels of DEPTH MinHash values. Documents with equal sets form one
-   class and go on as its smallest id.
-2. Each tree is one sorted order of the labels, range-partitioned, so no region
-   is too large for it. Documents that agree in all DEPTH values of a label stand in one region
-   and are candidates. Regions that share documents unite to candidate clusters
-   (ids only, star contraction). There are as many trees as it takes for a pair at
-   the threshold s to miss all regions with probability (1 - s**5)**trees < MISS: 20 at 0.85, 29 at 0.8.
+   and, for each tree, a label of MAX_DEPTH MinHash values in sortable bytes. Documents with equal
+   sets form one class and go on as its smallest id.
+2. Each tree is one sorted order of the labels, range-partitioned by label and id, so no region
+   is too large for a task. Neighbours in it are candidates by their longest common prefix: a region
+   takes the least depth from MIN_DEPTH on at which it has at most CROWD rows, and MAX_DEPTH where it stays
+   crowded. A pair at the threshold s that no tree joins even at MAX_DEPTH has probability
+   (1 - s**MAX_DEPTH)**trees < MISS: 30 trees at 0.85, 49 at 0.8; shallower regions only add to that.
+   Regions that share documents unite to candidate clusters (ids only, star contraction).
 3. Each cluster's texts meet once and its exact components are searched breadth
    first on full shingle sets, where a document already reached is not compared
    again, so a dense group of n copies costs about n comparisons. A
@@ -15,6 +16,9 @@
    part is recovered exactly: leaders of the chunks' components, then
    all documents outside the cluster's largest component, are compared with every chunk.
 
+Shingles are compared by 52 bits of a hash: two of one set, or of a pair that is compared, fall together
+with probability n**2 / 2**53 for n shingles.
+
 Edge cases: null, empty or wordless texts have no shingle and link with nothing;
 rows whose id is null can't be named and are left out; rows that repeat an id
 are one node of the graph and return a row each; extra columns play no part.
@@ -31,9 +35,11 @@ from pyspark.sql import functions as F
 
 from kernelforge.llm.graph import components
 from kernelforge.llm.shared import join_small, table
-from kernelforge.llm.text import SPACE, U64, Powers, blocks, mix, per_row, shingle_sets, word_hashes
+from kernelforge.llm.text import SPACE, U64, Powers, blocks, mix, per_row, shingle_sets, string_buffer, word_hashes
 
-DEPTH, MISS = 5, 1e-5
+MIN_DEPTH, MAX_DEPTH, MISS = 5, 7, 1e-5
+#: Rows up to which a region is taken at less than MAX_DEPTH.
+CROWD = 16
 THRESHOLD = 85  # hundredths
 #: Shingles that one task compares in memory.
 CHUNK = 4_000_000
@@ -43,7 +49,7 @@ PROBES = 2_000
 
 def trees(threshold: int) -> int:
     """Trees that all miss a pair at the threshold with probability MISS at most."""
-    return 1 if threshold >= 100 else math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** DEPTH)))
+    return 1 if threshold >= 100 else math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** MAX_DEPTH)))
 
 
 def _sets(batch, p: Powers, size: int):
@@ -53,8 +59,8 @@ def _sets(batch, p: Powers, size: int):
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, n_trees: int) -> DataFrame:
-    """key, n_shingles, f1 and f2 (fingerprint of the set), regions (a hashed label for each tree; none for an empty set)."""
-    seeds = mix(np.arange(7001, 7001 + n_trees * DEPTH, dtype=U64)) | U64(1)
+    """key, n_shingles, f1 and f2 (fingerprint of the set), labels (MAX_DEPTH big-endian 32-bit values for each tree; null for an empty set)."""
+    seeds = mix(np.arange(7001, 7001 + n_trees * MAX_DEPTH, dtype=U64)) | U64(1)
 
     def run(batches):
         p = Powers()
@@ -62,53 +68,59 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, n_trees: int) ->
             for i, j, v, at in _sets(batch, p, size):
                 n = np.diff(at)
                 f1, f2 = per_row(np.add, mix(v), at, U64(0)), per_row(np.add, mix(v ^ U64(0x5851F42D4C957F2D)), at, U64(0))
-                labels = np.zeros((j - i, n_trees), U64)
-                for t in range(n_trees):
-                    acc = np.full(j - i, t + 1, U64)
-                    for d in range(DEPTH):
-                        acc = mix(acc ^ per_row(np.minimum, v * seeds[t * DEPTH + d], at, U64(0)))
-                    labels[:, t] = acc
-                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, n_trees, 0)))).astype(np.int32)
-                flat = labels[n > 0].reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(i, j - i), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "n_shingles", "f1", "f2", "regions"]
-                )
+                labels = np.zeros((j - i, len(seeds)), ">u4")
+                for t, seed in enumerate(seeds):
+                    labels[:, t] = per_row(np.minimum, v * seed, at, U64(0)) >> U64(32)
+                each = [x.tobytes() if k else None for x, k in zip(labels, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(each, pa.binary())], ["key", "n_shingles", "f1", "f2", "labels"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, n_shingles long, f1 long, f2 long, regions array<long>")
-
-
-def _runs(batches):
-    """From rows (region, key) in order: an edge from each run's first key, and what the partition's ends hold."""
-    region = leader = None
-    first = None
-    for batch in batches:
-        r, k = batch.column("region").to_numpy(), batch.column("key").to_numpy()
-        if not len(r):
-            continue
-        starts = np.flatnonzero(np.concatenate(([region is None or r[0] != region], r[1:] != r[:-1])))
-        lead = np.full(len(r), leader if leader is not None else 0, np.int64)
-        run = np.searchsorted(starts, np.arange(len(r)), "right") - 1
-        lead[run >= 0] = k[starts][run[run >= 0]]
-        if first is None:
-            first = (int(r[0]), int(k[0]))
-        inner = lead != k
-        yield pa.RecordBatch.from_arrays([pa.array(lead[inner]), pa.array(k[inner]), pa.nulls(int(inner.sum()), pa.int64())], ["a", "b", "region"])
-        region, leader = r[-1], int(lead[-1])
-    if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([first[1], leader]), pa.nulls(2, pa.int64()), pa.array([first[0], int(region)])], ["a", "b", "region"])
-
-
-def candidates(reps: DataFrame) -> DataFrame:
+    return rows.mapInArrow(run, "key long, n_shingles long, f1 long, f2 long, labels binary")
+
+
+def _regions(batches):
+    """From a partition of a sorted tree: edges (a, b) from the first key of each region.
+
+    What regions a partition's ends belong to, its neighbours decide too: rows with ``region`` (tree and prefix) give a key there and how many rows it stands for.
+    """
+    held = [(b.column("tree").to_numpy(), b.column("key").to_numpy(), string_buffer(b.column("label"))[0]) for b in batches if len(b)]
+    if not held:
+        return
+    tree, key, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+    n, label = len(key), flat.reshape(len(key), -1)
+    same, common = tree[1:] == tree[:-1], np.zeros(n, np.int64)  # common: length of the prefix shared with the row before
+    for d in range(MAX_DEPTH):
+        same = same & (label[1:, 4 * d : 4 * d + 4] == label[:-1, 4 * d : 4 * d + 4]).all(axis=1)
+        common[1:] += same
+    left = np.ones(n, bool)
+    for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
+        start = np.flatnonzero(common < depth)
+        size = np.diff(np.append(start, n))
+        settled = (size <= CROWD) | (depth == MAX_DEPTH)
+        for e in {0, len(start) - 1}:
+            at, few = start[e], size[e] <= CROWD and depth < MAX_DEPTH
+            keys = key[at : at + size[e]] if few else key[at : at + 1]
+            prefix = int(tree[at]).to_bytes(4, "big") + label[at, : 4 * depth].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.array([prefix] * len(keys), pa.binary()), pa.array(np.ones(len(keys), np.int64) if few else size[e : e + 1])], ["a", "b", "region", "n"])
+            settled[e] &= depth == MAX_DEPTH
+        lead, done = np.repeat(key[start], size), np.repeat(settled, size)
+        take = np.flatnonzero(left & done & (lead != key))
+        for k in range(0, len(take), 1 << 16):
+            t = take[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(lead[t]), pa.array(key[t]), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.int64())], ["a", "b", "region", "n"])
+        left &= ~done
+
+
+def candidates(reps: DataFrame, n_trees: int) -> DataFrame:
     """Edges (a, b) between documents of one region of some tree."""
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forest = reps.select(F.explode("regions").alias("region"), "key")
-    order = forest.repartitionByRange(parts, "region", "key").sortWithinPartitions("region", "key")
-    found = table(order.mapInArrow(_runs, "a long, b long, region long"), "forest")
-    # A region that crosses partitions: two rows for each partition at most.
-    ends = found.where("region is not null").select("region", "a").distinct()
-    least = ends.groupBy("region").agg(F.min("a").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return found.where("b is not null").select("a", "b").union(ends.join(least, "region").select(F.col("least").alias("a"), F.col("a").alias("b")))
+    label = F.expr(f"transform(sequence(0, {n_trees - 1}), t -> substring(labels, t * {4 * MAX_DEPTH} + 1, {4 * MAX_DEPTH}))")
+    forest = reps.select(F.posexplode(label).alias("tree", "label"), "key")
+    order = forest.repartitionByRange("tree", "label", "key").sortWithinPartitions("tree", "label", "key")
+    found = table(order.mapInArrow(_regions, "a long, b long, region binary, n long"), "forest")
+    ends = found.where("region is not null").select("region", "a", "n")
+    few = (F.col("total") <= CROWD) | (F.length("region") == 4 + 4 * MAX_DEPTH)
+    crossing = ends.groupBy("region").agg(F.min("a").alias("least"), F.sum("n").alias("total"), F.count("*").alias("rows")).where((F.col("rows") > 1) & few)
+    return found.where("b is not null").select("a", "b").union(ends.join(crossing, "region").select(F.col("least").alias("a"), F.col("a").alias("b")))
 
 
 class _Chunk:
@@ -192,10 +204,13 @@ def _read(t: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable over links), kept (key is its component's smallest)."""
     sigs = table(signatures(docs, key, text, size, trees(threshold)), "signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("key").alias("rep"))
+    some = sigs.where("n_shingles > 0")
+    classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("key").alias("rep"))
     classes = table(classes, "classes")
-    every = sigs.join(classes, ["f1", "f2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "key"))
-    cluster = table(components(candidates(every.where("key = rep and n_shingles > 0")), "a", "b"), "clusters")
+    every = some.join(classes, ["f1", "f2", "n_shingles"]).select("key", "n_shingles", "rep")
+    every = every.union(sigs.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("rep")))
+    reps = some.join(classes, [some["key"] == classes["rep"], some["n_shingles"] == classes["n_shingles"]], "left_semi")
+    cluster = table(components(candidates(reps, trees(threshold)), "a", "b"), "clusters")
     sizes = cluster.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.sum("n_shingles").alias("total"))
     sizes = table(sizes.select("component", F.ceil(F.col("total") / chunk).alias("chunks")), "sizes")
     members = table(cluster.join(sizes, "component").select(F.col("node").alias("key"), "component", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")), "members")

@@ -78,15 +78,18 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray, p: Powers) -> n
 
 
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+    """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if not pa.types.is_string(col.type) and not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
-    if col.null_count:
-        col = pc.fill_null(col, "")
+    if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
+        col = pc.fill_null(col, b"") if col.null_count else col
+    else:
+        if not pa.types.is_string(col.type) and not pa.types.is_large_string(col.type):
+            col = col.cast(pa.large_string())
+        if col.null_count:
+            col = pc.fill_null(col, "")
     _, offs, data = col.buffers()
-    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     if offs is None or len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
     offsets = np.frombuffer(offs, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -66,3 +67,40 @@ def test_components(spark, edges):
         x, y = up[a], up[b]
         up.update({k: min(x, y) for k, v in up.items() if v in (x, y)})
     assert got == up
+
+
+def test_forest_regions_whatever_the_partitions(spark):
+    """Each region is taken at the least depth at which it has at most CROWD rows, or at MAX_DEPTH, also where partitions cut it."""
+    rnd, n_trees = random.Random(3), 2
+    rows = [(i, [tuple(rnd.choice((1, 1, 1, 2)) for _ in range(neardup.MAX_DEPTH)) for _ in range(n_trees)]) for i in range(900)]
+    packed = [(i, b"".join(v.to_bytes(4, "big") for label in labels for v in label)) for i, labels in rows]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for t in range(n_trees):
+        left = rows
+        for depth in range(neardup.MIN_DEPTH, neardup.MAX_DEPTH + 1):
+            regions = defaultdict(list)
+            for i, labels in left:
+                regions[labels[t][:depth]].append((i, labels))
+            left = []
+            for r in regions.values():
+                if len(r) > neardup.CROWD and depth < neardup.MAX_DEPTH:
+                    left += r
+                    continue
+                for i, _ in r:
+                    x, y = find(r[0][0]), find(i)
+                    up[max(x, y)] = min(x, y)
+    want = {i: find(i) for i, _ in rows}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        edges = neardup.candidates(spark.createDataFrame(packed, "key long, labels binary"), n_trees)
+        got = dict(graph.components(edges, "a", "b").collect())
+        assert {i: got.get(i, i) for i in want} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

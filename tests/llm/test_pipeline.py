@@ -20,8 +20,8 @@ def test_near_copies_at_80(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.neardup_stage(spark, docs, "").collect())
     assert kept == [r[0] for r in want if r[3]]
-    assert all((1 - (t / 100) ** neardup.DEPTH) ** neardup.trees(t) <= neardup.MISS for t in (50, 80, 85, 100))
-    assert neardup.trees(neardup.THRESHOLD) == 20
+    assert all((1 - (t / 100) ** neardup.MAX_DEPTH) ** neardup.trees(t) <= neardup.MISS for t in (50, 80, 85, 100))
+    assert neardup.trees(neardup.THRESHOLD) == 30 and neardup.trees(80) == 49
 
 
 def test_repeated_and_null_ids(spark, docs):
