@@ -80,5 +80,4 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, tota
     out = out.withColumn("__n", F.size(F.filter("cdf", lambda p: p <= F.col("__u")))).where("__n > 0").drop("cdf", "__source", "__u")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return out.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
