@@ -196,16 +196,14 @@ def _salted(rows: DataFrame, hot: int) -> DataFrame:
 
 def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc and runs (array of packed start and end, not yet united) of the texts that hold covered bytes."""
-    spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     sized = rows.where(F.octet_length("text") >= LENGTH)
     digests = table(sized.select("doc", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("end")), "digests")
     several = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     copies = table(digests.join(several.select("digest", "least"), "digest").where("doc > least").select("doc", F.lit(0).cast("long").alias("start"), "end").distinct(), "copies")
     single = join_small(sized, copies.select("doc"), "doc", "left_anti")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["gram", "whole", "doc", "place"]
-    order = single.mapInArrow(_anchors, "gram long, whole long, doc long, place long").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    order = single.mapInArrow(_anchors, "gram long, whole long, doc long, place long").repartitionByRange(*keys).sortWithinPartitions(*keys)
     swept = table(order.mapInArrow(_sweep, "gram long, doc long, place long"), "swept")
     place = F.col("place")
     begin = F.floor(place / 256).cast("long")
@@ -214,7 +212,7 @@ def covered(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int =
     lists = _salted(open_, hot).groupBy("doc").agg(F.collect_list(F.struct("gram", "salt", "salts", "place")).alias("at"))
     cut = rows.join(lists, "doc").mapInArrow(_cut, "gram long, salt long, salts long, doc long, start long, bytes binary")
     while True:
-        ready = cut.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
+        ready = cut.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
         found = table(ready.mapInArrow(_settle, "gram long, doc long, start long, end long, bytes binary"), "settled")
         runs = runs.union(found.where("gram is null").select("doc", "start", "end"))
         left = found.where("gram is not null").select("gram", "doc", "start", "bytes")
