@@ -18,9 +18,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kernelforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
