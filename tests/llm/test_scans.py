@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -43,6 +44,7 @@ def test_contamination_of_table(spark):
 def test_contamination_edges(spark, docs, none, monkeypatch):
     rows = docs.collect()
     items = [(1, rows[3].text), (2, rows[3].text), (3, None), (4, " .. "), (5, "w1"), (6, rows[40].text)]
+    items += [(7 + i, f"{' '.join(rows[50 + i].text.split()[i : i + 30])} other words {i}") for i in range(30)]  # blocks of many items
     bench = spark.createDataFrame(items, "item_id long, text string")
     for limit in (3_000_000, 50):  # in one pass, and in many
         monkeypatch.setattr(decontaminate.pattern_parts, "__defaults__", (limit,))
@@ -50,10 +52,27 @@ def test_contamination_edges(spark, docs, none, monkeypatch):
             c = r.contamination
             assert (c.n_words, c.n_hit, c["items"]) == hits(r.text, items)
             assert sum(len(normal(r.text[s.start : s.end])) for s in c.spans) == c.n_hit
+    nameless = decontaminate.scan(docs, spark.createDataFrame([(None, rows[3].text)], "item_id long, text string")).where("contamination.n_hit > 0").collect()
+    assert nameless and all(not r.contamination["items"] for r in nameless)
     assert decontaminate.scan(none, bench).count() == 0
     assert {r.contamination.n_hit for r in decontaminate.scan(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_one_automaton_for_many_items():
+    """400 items of 200 words, in one automaton of at most a node a word, against plain windows."""
+    rnd = random.Random(2)
+    item = lambda: " ".join(f"q{rnd.randrange(40)}" for _ in range(200))
+    items = [(str(i), item()) for i in range(400)]
+    found = decontaminate.Matcher([(n, t.encode()) for n, t in items], 13)
+    assert found.automaton.get_stats()["nodes_count"] <= 400 * 200 + 1
+    for k in range(60):
+        a, b = rnd.sample(items, 2)
+        text = " ".join([item(), *a[1].split()[k : k + 11 + k % 5], *b[1].split()[: 12 + k % 3], item()])
+        spans, names = found.find(text.encode().split())
+        want = hits(text, items)
+        assert (len({i for x, y in spans for i in range(x, y)}), sorted(names)) == want[1:]
+
+
 def test_language(spark, docs, none):
     d = "/root/testdata/sf0.1"
     got = queries.op7_language_id(spark, d).join(queries.read(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
