@@ -1,23 +1,26 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 A window is as long as the template (in word shingles) and windows start every
-quarter of that, so a copy fills at least 7/8 of its best window and shares at least 7/9 of the
+quarter of that from the start of each text, cut at its end, so a copy fills at least 7/8 of its best window and shares at least 7/9 of the
 union. Each of the BANDS bands is one MinHash value; a window at similarity s meets its template
 in some band with probability 1 - (1 - s)**BANDS, over 1 - 1e-10 for a copy and over 0.99998 at
 s = 0.5. Where windows meet a template, its distinct shingles found there are
-counted; a run holding CONTAINED of them is a match.
+counted; a run holding CONTAINED of them is a match, and where a run that holds so many turns back in the
+template, another copy begins.
 
-Templates are given by name and text and are few: their shingles travel with the
-code, up to MAX_SHINGLES. Edge cases: null and empty texts and texts shorter than a
+Templates are given by name and text: their shingles travel with the
+code, MAX_SHINGLES in each pass over the texts. read_templates takes whole license texts from files. Edge cases: null and empty texts and texts shorter than a
 shingle hold no license; templates need five words; repeated rows return the same matches
 each; an empty table returns none; extra columns play no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelforge.llm.text import NON_ALNUM, U64, Powers, blocks, gram_hashes, mix, word_hashes
@@ -39,30 +42,63 @@ TEMPLATES = {
 _SEEDS = mix(np.arange(9001, 9001 + BANDS, dtype=U64)) | U64(1)
 
 
-def _shingles(text: str) -> np.ndarray:
+def _words(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    h = word_hashes(raw, np.array([0, len(raw)]), NON_ALNUM, Powers())[3]
+    return word_hashes(raw, np.array([0, len(raw)]), NON_ALNUM, Powers())[3]
+
+
+def _shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles in order of hash, and where each first stands."""
+    h = _words(text)
     if len(h) < SHINGLE:
         raise ValueError(f"a template needs {SHINGLE} words")
-    return np.unique(gram_hashes(h, SHINGLE))
+    return np.unique(gram_hashes(h, SHINGLE), return_index=True)
+
+
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """License texts by file name, of files that hold SHINGLE words or more."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").toLocalIterator()
+    texts = {r["name"].rsplit(".txt", 1)[0]: r["value"] for r in rows}
+    return {k: v for k, v in texts.items() if len(_words(v)) >= SHINGLE}
 
 
-def _window_least(x: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """Least of x[p : p + width] for p in at; windows end with the array."""
-    done = 1
-    while 2 * done <= width:
-        x = np.minimum(x, np.concatenate((x[done:], np.full(min(done, len(x)), x[-1]))))
-        done *= 2
-    return np.minimum(x[at], x[np.minimum(at + width - done, len(x) - 1)])
+def _window_least(x: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least of x[p : p + n] for p in at and n in size, by least values over powers of two."""
+    out, level = np.zeros(len(at), x.dtype), np.log2(np.maximum(size, 1)).astype(np.int64)
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(x[at[here]], x[at[here] + size[here] - (1 << k)])
+        x = np.minimum(x[: max(0, len(x) - (1 << k))], x[1 << k :])
+    return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
+def _copies(place: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Cuts a run of template places into copies: one that has ``least`` distinct places ends where they turn back."""
+    out, begin, seen = [], 0, set()
+    for i, p in enumerate(place.tolist()):
+        if len(seen) >= least and p < place[i - 1]:
+            out.append((begin, i))
+            begin, seen = i, set()
+        seen.add(p)
+    return [*out, (begin, len(place))]
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", contained: float = CONTAINED, limit: int = MAX_SHINGLES) -> DataFrame:
     """key, license, start, end (characters), containment: a row for each match."""
-    sets = {name: _shingles(t) for name, t in sorted(templates.items())}
-    if sum(map(len, sets.values())) > MAX_SHINGLES:
-        raise ValueError("scan for fewer templates at a time")
+    parts, held = [{}], 0
+    for name, t in sorted(templates.items()):
+        s = _shingles(t)
+        if held and held + len(s[0]) > limit:
+            parts, held = [*parts, {}], 0
+        parts[-1][name] = s
+        held += len(s[0])
+    return reduce(DataFrame.union, (_scan(docs, p, key, text, contained) for p in parts))
+
+
+def _scan(docs: DataFrame, sets: dict[str, tuple], key: str, text: str, contained: float) -> DataFrame:
     by_width: dict[int, list] = {}
-    for name, s in sets.items():
+    order = {name: place for name, (_, place) in sets.items()}
+    for name, (s, _) in sets.items():
         by_width.setdefault(len(s), []).append((name, s, [int((s * seed).min()) for seed in _SEEDS]))
 
     def run(batches):
@@ -75,27 +111,33 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
                 if not len(g):
                     continue
                 inside = row[: len(g)] == row[SHINGLE - 1 :]
-                banded = [np.where(inside, g * seed, U64(2**64 - 1)) for seed in _SEEDS]
+                first = np.searchsorted(row, row[: len(g)])  # of the text's shingles
+                last = np.minimum(np.searchsorted(row, row[: len(g)], "right") - SHINGLE + 1, len(g))
+                place = np.arange(len(g))
+                banded = [g * seed for seed in _SEEDS]
                 found = []
                 for width, group in by_width.items():
-                    at = np.arange(0, len(g), max(1, width // 4))
-                    least = [_window_least(x, width, at) for x in banded]
+                    at = place[inside & ((place - first) % max(1, width // 4) == 0)]
+                    size = np.minimum(width, last[at] - at)
+                    least = [_window_least(x, at, size) for x in banded]
                     for name, s, bands in group:
                         meets = np.zeros(len(at), bool)
                         for x, b in zip(least, bands, strict=True):
                             meets |= x == U64(b)
                         if not meets.any():
                             continue
-                        near = np.zeros(len(g) + 1, np.int64)
-                        np.add.at(near, np.maximum(at[meets] - width, 0), 1)
-                        np.add.at(near, np.minimum(at[meets] + 2 * width, len(g)), -1)
+                        near, met = np.zeros(len(g) + 1, np.int64), at[meets]
+                        np.add.at(near, np.maximum(met - width, first[met]), 1)
+                        np.add.at(near, np.minimum(met + 2 * width, last[met]), -1)
                         here = np.flatnonzero((np.cumsum(near[:-1]) > 0) & inside)
                         here = here[np.isin(g[here], s)]
-                        cut = np.flatnonzero(np.concatenate(([True], (np.diff(here) > width) | (row[here[1:]] != row[here[:-1]])))) if len(here) else []
-                        for run_ in np.split(here, cut[1:]) if len(here) else []:
-                            share = len(np.unique(g[run_])) / len(s)
-                            if share >= contained:
-                                found.append((int(row[run_[0]]), name, int(start[run_[0]]), int(end[run_[-1] + SHINGLE - 1]), share))
+                        cut = np.flatnonzero((np.diff(here) > width) | (row[here[1:]] != row[here[:-1]])) + 1
+                        for run_ in np.split(here, cut) if len(here) else []:
+                            for a, b in _copies(order[name][np.searchsorted(s, g[run_])], contained * len(s)):
+                                copy = run_[a:b]
+                                share = len(np.unique(g[copy])) / len(s)
+                                if share >= contained:
+                                    found.append((int(row[copy[0]]), name, int(start[copy[0]]), int(end[copy[-1] + SHINGLE - 1]), share))
                 if found:
                     found.sort()
                     chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
