@@ -5,10 +5,11 @@ first call of an identifier counts. A result depends on the message that holds i
 on the results (or calls) named in its depends_on. Messages are peeled off the
 graph level by level, each level a distributed step, so a long conversation is
 never gathered into one task. Arguments are checked against the tool's
-schema and every message is one line of canonical JSON (sorted keys, no spaces).
+JSON Schema (KEYWORDS), and every message is one line of canonical JSON as in RFC 8785:
+keys in order of UTF-16, no spaces, numbers as ECMAScript writes them (integers keep all digits).
 
-Edge cases: a result without a call, a call without a result, unknown tools,
-unparsable or ill-typed arguments and cycles are reported in ``problems``, not
+Edge cases: a result without a call, a call without a result, a repeated identifier, unknown tools,
+unparsable or ill-typed arguments (NaN and infinite numbers and lone surrogates are no JSON) and cycles are reported in ``problems``, not
 dropped; messages on or behind a cycle have level null; null texts are JSON null;
 rows without conversation or turn take no part in links but are returned; repeated
 rows stand at the same place and are returned each; extra columns play no part.
@@ -17,7 +18,10 @@ rows stand at the same place and are returned each; extra columns play no part.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,32 +30,104 @@ from pyspark.sql import functions as F
 from kernelforge.llm.shared import table
 
 CALL = "struct<id:string,name:string,arguments:string,depends_on:array<string>>"
-_KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list}
+_KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: What a schema may say; other keywords say nothing here.
+KEYWORDS = ("type", "properties", "required", "additionalProperties", "items", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "pattern", "anyOf")
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind not in _KINDS:
+        raise ValueError(f"a schema names the unknown type {kind}")
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _KINDS[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
+
+
+def violations(value: object, schema: object, at: str = "") -> list[str]:
+    """What is wrong with a value, with its path. A schema may be a bare type name; objects are closed unless additionalProperties is true or a schema."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at or 'value'} is not allowed"]
+    schema, name, wrong = {"type": schema} if isinstance(schema, str) else schema, at or "value", []
+    kinds = schema.get("type")
+    if kinds is not None:
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if not any(_is(value, k) for k in kinds):
+            return [f"{name} is not {' or '.join(kinds)}"]
+    if "enum" in schema and not any(canonical(value) == canonical(x) for x in schema["enum"]):
+        wrong.append(f"{name} is not one of the values")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        wrong.append(f"{name} is not the value")
+    if "anyOf" in schema and all(violations(value, x, at) for x in schema["anyOf"]):
+        wrong.append(f"{name} fits no alternative")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+            wrong.append(f"{name} is out of range")
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            wrong.append(f"{name} has a wrong length")
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            wrong.append(f"{name} does not match")
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            wrong.append(f"{name} has a wrong length")
+        if "items" in schema:
+            wrong += [w for i, x in enumerate(value) for w in violations(x, schema["items"], f"{at}[{i}]")]
+    if isinstance(value, dict):
+        fields, rest = schema.get("properties", {}), schema.get("additionalProperties", "properties" not in schema)
+        path = f"{at}." if at else ""
+        wrong += [f"missing {path}{k}" for k in sorted(schema.get("required", [])) if k not in value]
+        if rest is False:
+            wrong += [f"unknown {path}{k}" for k in sorted(value) if k not in fields]
+        for k in sorted(value):
+            if k in fields or not isinstance(rest, bool):
+                wrong += violations(value[k], fields.get(k, rest), path + k)
+    return wrong
+
+
+def _refuse(name: str):
+    raise ValueError(name)
 
 
 def check(name: str | None, arguments: str | None, schemas: dict) -> tuple[object, list[str]]:
-    """The parsed arguments and what is wrong with them."""
+    """The parsed arguments and what is wrong with them; arguments that are no JSON stay text."""
     try:
-        value = json.loads(arguments or "")
-    except ValueError:
+        value = json.loads(arguments or "", parse_constant=_refuse)
+        canonical(value).encode()
+    except (ValueError, RecursionError):
         return arguments, ["arguments are not JSON"]
     if name not in schemas:
         return value, ["unknown tool"]
     if not isinstance(value, dict):
         return value, ["arguments are not an object"]
-    schema, wrong = schemas[name], []
-    fields = schema.get("properties", {})
-    wrong += [f"missing {k}" for k in sorted(schema.get("required", [])) if k not in value]
-    wrong += [f"unknown {k}" for k in sorted(value) if k not in fields]
-    for k in sorted(set(value) & set(fields)):
-        kind = fields[k]
-        if not isinstance(value[k], _KINDS[kind]) or isinstance(value[k], bool) and kind != "boolean":
-            wrong.append(f"{k} is not {kind}")
-    return value, wrong
+    return value, violations(value, {"type": "object", "properties": {}} | schemas[name])
+
+
+def number(x: float) -> str:
+    """A double as ECMAScript writes it."""
+    if not math.isfinite(x):
+        raise ValueError("no JSON number")
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    text = "".join(map(str, digits)).lstrip("0")
+    n = len(text) + exponent
+    text = text.rstrip("0")
+    k, minus = len(text), "-" if sign else ""
+    if k <= n <= 21:
+        return minus + text + "0" * (n - k)
+    if 0 < n <= 21:
+        return f"{minus}{text[:n]}.{text[n:]}"
+    if -6 < n <= 0:
+        return f"{minus}0.{'0' * -n}{text}"
+    return f"{minus}{text[0]}{'.' * (k > 1)}{text[1:]}e{'+' if n > 0 else '-'}{abs(n - 1)}"
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    return number(value) if isinstance(value, float) else json.dumps(value, ensure_ascii=False)
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -89,16 +165,20 @@ def link(messages: DataFrame, schemas: dict, conv: str = "conv_id", turn: str =
     level = levels(edges, rows.where("conv is not null and turn is not null").select("conv", "turn").distinct())
     known = linked.select("conv", "turn", F.lit(True).alias("linked")).distinct()
     answered = made.join(results, [made["conv"] == results["conv"], made["c.id"] == results["id"]], "left").groupBy(made["conv"], made["turn"]).agg(F.sum(F.when(results["id"].isNull(), 1).otherwise(0)).alias("unanswered"))
-    whole = rows.join(known, ["conv", "turn"], "left").join(answered, ["conv", "turn"], "left").join(level, ["conv", "turn"], "left")
+    again = made.select("conv", "turn", F.col("c.id").alias("id")).join(first, ["conv", "id"]).where("turn > on").groupBy("conv", "turn").agg(F.sort_array(F.collect_set("id")).alias("again"))
+    whole = rows.join(again, ["conv", "turn"], "left").join(known, ["conv", "turn"], "left").join(answered, ["conv", "turn"], "left").join(level, ["conv", "turn"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                problems, each = [], []
+                problems, each, ids = [], [], set(r["again"] or [])
                 for c in r["calls"] or []:
                     if c is None:
                         continue
+                    if c["id"] in ids:
+                        problems.append(f"{c['id']}: repeated identifier")
+                    ids.add(c["id"])
                     value, wrong = check(c["name"], c["arguments"], schemas)
                     problems += [f"{c['id']}: {w}" for w in wrong]
                     each.append({"arguments": value, "id": c["id"], "name": c["name"]} | ({"depends_on": c["depends_on"]} if c["depends_on"] else {}))

@@ -75,15 +75,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-REPLY = {"reply": {"properties": {"text": "string"}, "required": ["text"]}}
+REPLY = {"reply": {"properties": {"text": {"type": "string", "minLength": 1, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0, "maximum": 5}}, "required": ["text", "turn"]}}
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as calls: each user turn calls ``reply`` under an identifier of its own, which the next assistant turn answers."""
+    """Conversations as calls: each user turn calls ``reply`` under an identifier of its own, which waits for the call two turns before
+    if there is one, and which the next assistant turn answers. Long texts and late turns break the tool's schema."""
     rows = read(spark, sf_dir, "conversations")
-    ident = F.format_string("%d-%d", "conv_id", "turn")
-    call = F.array(F.struct(ident.alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), F.expr("cast(null as array<string>)").alias("depends_on")))
-    rows = rows.withColumn("calls", F.when(F.col("role") == "user", call)).withColumn("result_for", F.when((F.col("role") == "assistant") & (F.col("turn") > 0), F.format_string("%d-%d", "conv_id", F.col("turn") - 1)))
+    ident = lambda back: F.format_string("%d-%d", "conv_id", F.col("turn") - back)
+    waits = F.when(F.col("turn") >= 2, F.array(ident(2)))
+    call = F.array(F.struct(ident(0).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), waits.alias("depends_on")))
+    rows = rows.withColumn("calls", F.when(F.col("role") == "user", call)).withColumn("result_for", F.when((F.col("role") == "assistant") & (F.col("turn") > 0), ident(1)))
     return chat.link(rows, REPLY)
 
 
