@@ -5,8 +5,9 @@ filter with each of the levels 1 to q; a count is read back by probing level
 after level until one is absent. Words and word pairs share the filter. Its
 pieces are sized by the distinct n-grams they hold (BITS bits an entry, HASHES
 probes, so about 1 % of absent entries seem present), and it grows with the
-corpus; slices of at most SLICE_BYTES are broadcast, each in a pass of its own
-over the texts, so no broadcast grows with the data and no n-gram is dropped.
+corpus. It is broadcast whole up to SLICE_BYTES. A larger filter is broadcast in slices of at most that size, each
+with a pass of its own over the texts, and no n-gram is dropped; the pieces of single words go with every slice, and
+they grow with the vocabulary alone.
 
 The model: P(w) = (c(w) + 1) / (N + V + 1), P(w | h) = (c(hw) + MU P(w)) / (c(h) + MU),
 with counts read from the filter; the history of a text's first token is the start of a text,
@@ -178,7 +179,6 @@ def _slices(spark, made: DataFrame, pieces: int):
 def score(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, and pair_rate (share of known pairs)."""
     spark = docs.sparkSession
-    # The scan is cut the same way in every pass, so the number names the row in all of them.
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(~learn_from, F.lit(False)).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     pieces = max(12, docs.rdd.getNumPartitions())
@@ -192,10 +192,11 @@ def score(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str =
     dictionary = spark.sparkContext.broadcast((h[order], c[order], float(total), float(distinct), float(texts)))
     singles = table(build(words, pieces), "word-filter")
     pairs = table(build(_counts(train, "text", True), pieces), "pair-filter")
-    small = [f.arrays() for f in _slices(spark, singles, pieces)]
+    if (pairs.agg(F.sum("n_bits")).first()[0] or 0) // 8 > SLICE_BYTES:
+        rows = table(rows, "rows")  # numbers that name the rows in every pass, whatever docs is made of
+    parts = [spark.sparkContext.broadcast(f.arrays()) for f in _slices(spark, singles, pieces)]
     scored = None
     for k, f in enumerate(_slices(spark, pairs, pieces)):
-        parts = [spark.sparkContext.broadcast(x) for x in small] if k == 0 else parts
         one = _pass(rows, dictionary, parts, spark.sparkContext.broadcast(f.arrays()), k == 0)
         scored = one if scored is None else scored.unionByName(one)
     if scored is None:
