@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernelforge.llm.shared import table
+
 KINDS = ("email", "ip", "card", "phone")
 ADD = 0.9
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -157,7 +159,7 @@ def _score(w: list[float], x: Column) -> Column:
 
 def find(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """docs with ``into``: array<struct<kind, start, end, base, score>> by kind and start."""
-    seen = proposals(docs, text, "__seen")
+    seen = table(proposals(docs, text, "__seen"), "proposals")  # the patterns run once; counting and scoring read the result
     rows = seen.select(F.explode("__seen").alias("x")).groupBy("x.kind", "x.votes").count().collect()  # 64 at most
     counts = {(r["kind"], r["votes"]): r["count"] for r in rows}
     w = train(counts, estimate(counts))
