@@ -27,24 +27,24 @@ def pinv(a: np.ndarray, tol: float) -> np.ndarray:
     return (v[:r].T.conj() / s[:r]) @ u[:, :r].T.conj()
 
 
-def pivoted_qr(a: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pivoted_qr(a: np.ndarray, tol: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """q, r, order with a[:, order] = q r to the tolerance, by modified Gram-Schmidt with column pivots."""
-    a, order, qs, first = a.astype(np.result_type(a, float)).copy(), np.arange(a.shape[1]), [], None
-    work = a.copy()
-    for k in range(min(a.shape)):
+    work, order, first = a.astype(np.result_type(a, float)), np.arange(a.shape[1]), None
+    q = np.zeros((a.shape[0], min(a.shape)), work.dtype)
+    rank = 0
+    for k in range(min(*a.shape, most or a.shape[1])):
         norm = np.linalg.norm(work[:, k:], axis=0)
         p = k + int(norm.argmax())
         first = norm.max() if first is None else first
         if norm.max() <= tol * first or norm.max() == 0:
             break
         work[:, [k, p]], order[[k, p]] = work[:, [p, k]], order[[p, k]]
-        q = work[:, k] / np.linalg.norm(work[:, k])
-        for u in qs:  # once more, for orthogonality
-            q = q - u * (u.conj() @ q)
-        q /= np.linalg.norm(q)
-        qs.append(q)
-        work[:, k + 1 :] -= np.outer(q, q.conj() @ work[:, k + 1 :])
-    q = np.stack(qs, axis=1) if qs else np.zeros((a.shape[0], 0))
+        u = work[:, k] / np.linalg.norm(work[:, k])
+        u = u - q[:, :k] @ (q[:, :k].conj().T @ u)  # once more, for orthogonality
+        q[:, k] = u / np.linalg.norm(u)
+        work[:, k + 1 :] -= np.outer(q[:, k], q[:, k].conj() @ work[:, k + 1 :])
+        rank = k + 1
+    q = q[:, :rank]
     return q, q.conj().T @ a[:, order], order
 
 
@@ -55,9 +55,9 @@ def rrqr(a: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
     return q, v
 
 
-def interpolative(a: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and coefficients with a = a[:, columns] @ coefficients."""
-    q, r, order = pivoted_qr(a, tol)
+def interpolative(a: np.ndarray, tol: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (``most`` at most) and coefficients with a = a[:, columns] @ coefficients."""
+    q, r, order = pivoted_qr(a, tol, most)
     k = q.shape[1]
     t = np.linalg.solve(r[:, :k], r) if k else r
     out = np.empty_like(t)

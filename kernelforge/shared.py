@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kernelforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _drop() -> None:
+    for spark, path in _made:
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the JVM may have gone first
+            return
+
+
+atexit.register(_drop)
+
+
 def written(df: DataFrame) -> DataFrame:
+    """df from a Parquet table of its own, which goes when the process ends."""
     path = f"{shared_dir(df.sparkSession)}/core-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)

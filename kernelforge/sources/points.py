@@ -17,6 +17,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0).alias("x"), (F.col("p_partkey") % 7 / 7.0).alias("w"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points on a line: the balance, scaled by a fixed range."""
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return df.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 10000.0).alias("x"))
+
+
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return df.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(F.col("l_quantity") / 50.0, F.col("l_extendedprice") / 105000.0, F.col("l_discount") / 0.1, F.col("l_tax") / 0.08).alias("x"), F.lit(1.0).alias("w"))

@@ -1,10 +1,10 @@
 import duckdb
 import numpy as np
 import pytest
-from kernelforge import queries
+from kernelforge import options, queries
 from kernelforge.functions import kernels
 from kernelforge.operators import blocks_algebra as la
-from kernelforge.operators import compressed, dense, solvers
+from kernelforge.operators import dense, nested, solvers
 from kernelforge.options import Options
 from kernelforge.plans import blocks
 from kernelforge.plans.cluster import cluster, depth_of, tree
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def same(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "part"):
+    for t in ("embeddings", "part", "supplier", "lineitem"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -23,7 +23,7 @@ def same(spark, name):
     return sorted(tuple(r[c] for c in cols) for r in df.collect()), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["multiply_rbf", "multiply_helmholtz_im", "norms", "nearest", "cluster_ckd", "tree_shape", "h_plan", "blr_plan", "composed", "hodlr_plan"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     got, want = same(spark, name)
     assert got == want
@@ -44,17 +44,105 @@ def test_tree_and_plans(spark, cloud):
         assert blocks.report(plan, t).agg(F.sum("entries")).first()[0] == 400 * 400
 
 
-def test_compressed_product_and_solve(cloud):
+@pytest.mark.parametrize(("order", "task"), [("ckd", 60), ("tm", 60), ("natural", 60), ("tm_gram", 200_000), ("tm_gram", 110)])
+def test_rounds_give_the_same_tree(cloud, order, task):
+    """Levels split by range sorts, and levels finished in a task."""
+    df = cloud[1]
+    made = {r.id: (r.node, r.new_id) for r in cluster(df, 30, order, ("rbf", 0.5), task).collect()}
+    if order == "tm_gram":  # samples differ between the two ways
+        assert sorted(v[1] for v in made.values()) == list(range(1, 401))
+        return
+    whole = cluster(df, 30, order).cache()
+    assert made == {r.id: (r.node, r.new_id) for r in whole.collect()}
+    a, b = ({r.node: (r.level, r.n, *np.round(r.center, 9), round(r.radius, 9)) for r in tree(whole, t).collect()} for t in (60, 10_000))
+    assert a == b
+
+
+@pytest.mark.parametrize(("kernel", "h", "strong"), [("rbf", 1.0, False), ("inverse_distance", 1.0, True), ("helmholtz", 3.0, False), ("hankel", 4.0, True)])
+def test_nested_against_dense(cloud, kernel, h, strong):
+    x, df = cloud
+    k = kernels.block(kernel, x, x, h) + 2 * np.eye(400)
+    w = np.array([i % 5 - 2 for i in range(400)], float)
+    a = nested.Nested(df, kernel, h, 2.0, Options(leaf=40, tol=1e-8, strong=strong, order="ckd"))
+    both = df.select("id", F.array("w", F.lit(1.0)).alias("w"))
+    y = {r.id: r for r in a.multiply(both).collect()}
+    got = np.array([y[i].y for i in range(400)]) + (1j * np.array([y[i].yi for i in range(400)]) if np.iscomplexobj(k) else 0)
+    assert np.allclose(got, k @ np.stack([w, np.ones(400)], 1), atol=1e-4 * abs(k).sum(1).max())
+    asked = df.select(F.col("id").alias("i"), ((F.col("id") * 7) % 400).alias("j"))
+    for r in a.extract(asked).collect():
+        assert abs(r.v + (1j * r.vi if np.iscomplexobj(k) else 0) - k[r.i, r.j]) < 1e-4
+    if strong:
+        with pytest.raises(ValueError, match="weak"):
+            a.factor()
+        return
+    z = {r.id: r for r in a.solve(df).collect()}
+    sol = np.array([z[i].w for i in range(400)]) + (1j * np.array([z[i].wi for i in range(400)]) if np.iscomplexobj(k) else 0)
+    assert np.allclose(k @ sol, w, atol=1e-3)
+    sign, logabs = np.linalg.slogdet(k)
+    phase, got = a.logdet()
+    assert abs(phase - sign) < 1e-4 and abs(got - logabs) < 1e-3
+
+
+def test_nested_checks_and_iteration(spark, cloud):
     x, df = cloud
     k = kernels.block("rbf", x, x, 1.0) + np.eye(400)
+    a = nested.Nested(df, "rbf", 1.0, 1.0, Options(leaf=60, tol=1e-9, tol_solve=1e-8))
+    assert a.error(df) < 1e-6 and a.entry_error(10) < 1e-6 and a.solution_error() < 1e-6
+    assert a.structure().agg(F.sum(F.col("rows") * F.col("cols"))).first()[0] == 160_000 and a.statistics().count() == a.depth
+    rough = nested.Nested(df, "rbf", 1.0, 1.0, Options(leaf=60, tol=1e-2)).factor()
     w = np.array([i % 5 - 2 for i in range(400)], float)
-    a = compressed.Compressed(df, "rbf", 1.0, 1.0, Options(leaf=60, rank=100))
-    y = {r.id: r.y for r in a.multiply(df).collect()}
-    assert np.allclose([y[i] for i in range(400)], k @ w, atol=1e-3)
-    sol, history = a.conjugate_gradient(df, 1e-4, 15)
-    z = {r.id: r.w for r in sol.collect()}
-    assert history[-1] <= 1e-4 and np.allclose([z[i] for i in range(400)], np.linalg.solve(k, w), atol=1e-2)
-    assert a.error(df) < 1e-4
+    sol, history = a.solve_iterative(df, precondition=rough)
+    assert history[-1] <= 1e-8 and len(history) < 20 and np.allclose(k @ _vector(sol, 400), w, atol=1e-4)
+    values, _, errors = a.eigenpairs(2, near=1.5, steps=25)
+    want = np.linalg.eigvalsh(k)
+    want = want[np.argsort(abs(want - 1.5))[:2]]
+    assert np.allclose(sorted(values), sorted(want), atol=1e-5)
+
+
+def test_nested_edges(spark, cloud):
+    """No points, one point, repeated points, values missing and to spare."""
+    kind = "id long, x array<double>, w double"
+    none = spark.createDataFrame([], kind)
+    assert nested.Nested(none, "rbf", 1.0, 1.0).multiply(none).count() == 0
+    one = spark.createDataFrame([(5, [1.0, 2.0], 3.0)], kind)
+    a = nested.Nested(one, "rbf", 1.0, 1.0)
+    assert [tuple(r) for r in a.multiply(one).collect()] == [(5, 6.0)] and [tuple(r) for r in a.solve(one).collect()] == [(5, 1.5)]
+    rows = [(i, [float(i % 3), 0.0], 1.0) for i in range(60)]
+    same_ = spark.createDataFrame(rows, kind)
+    x = np.array([r[1] for r in rows])
+    k = kernels.block("laplacian", x, x, 1.0) + np.eye(60)
+    a = nested.Nested(same_, "laplacian", 1.0, 1.0, Options(leaf=8, tol=1e-10))
+    assert np.allclose(_vector(a.solve(same_), 60), np.linalg.solve(k, np.ones(60)))
+    part = spark.createDataFrame([(0, None, 2.0), (1, None, None), (99, None, 7.0)], kind)
+    assert np.allclose(_vector(a.multiply(part), 60, "y"), k[:, 0] * 2)
+
+
+def test_options(spark):
+    assert options.parse(["--leaf", "60", "--strong", "true", "--tol", "1e-6"]) == Options(leaf=60, strong=True, tol=1e-6)
+    for wrong in (["--leaves", "3"], ["--leaf"], ["leaf", "3"]):
+        with pytest.raises(ValueError):
+            options.parse(wrong)
+    assert {r.name: r.value for r in options.as_table(spark, Options()).collect()}["leaf"] == "200"
+
+
+def test_kernel_columns_and_blocks(spark):
+    rnd = np.random.default_rng(0)
+    x, y = rnd.random((3, 3)) + 0.1, rnd.random((3, 3)) + 0.1
+    df = spark.createDataFrame([(i, j, x[i].tolist(), y[j].tolist()) for i in range(3) for j in range(3)], "i int, j int, x array<double>, y array<double>")
+    params = {"laplacian_low_rank": (0.5, 3), "wave": (2.0, 3)}
+    for name in kernels.KERNELS:
+        h = params.get(name, 0.7)
+        got = np.array([r.v for r in df.select("i", "j", kernels.entry(name, F.col("x"), F.col("y"), h).alias("v")).orderBy("i", "j").collect()])
+        assert np.allclose(got.reshape(3, 3), kernels.block(name, x, y, h))
+    for name in kernels.PHASES:
+        re, im = kernels.phase_entry(name, F.col("x"), F.col("y"), 16.0, 3)
+        got = np.array([complex(r.re, r.im) for r in df.select("i", "j", re.alias("re"), im.alias("im")).orderBy("i", "j").collect()])
+        assert np.allclose(got.reshape(3, 3), kernels.block(name, x, y, 16.0)) and kernels.is_complex(name)
+    assert [kernels.bit_reversed(i, 3) for i in range(8)] == [0, 4, 2, 6, 1, 5, 3, 7]
+    # Values of the functions' published tables.
+    j, y0 = kernels.bessel0(np.array([0.5, 1.0, 5.0, 10.0, 13.9, 14.1, 50.0]))
+    assert np.allclose(j[:4], [0.938469807240813, 0.765197686557967, -0.177596771314338, -0.245935764451348], atol=1e-9) and np.allclose(y0[:4], [-0.444518733506707, 0.088256964215677, -0.308517625249034, 0.055671167283599], atol=1e-9)
+    assert np.allclose([j[6], y0[6]], [0.055812327669252, -0.098064995470077], atol=1e-11) and abs(j[4] - j[5]) < 0.05
 
 
 def test_blocks_algebra():
@@ -83,11 +171,17 @@ def test_blocks_algebra():
 def test_ridge(spark, cloud):
     x, df = cloud
     train = df.withColumn("label", F.when(F.element_at("x", 1) > 0.5, 1).otherwise(-1))
-    w = compressed.ridge_fit(train, "rbf", 0.3, 1.0, Options(leaf=120, tol_solve=1e-2, max_iter=10))
-    got = compressed.ridge_predict(df, w, "rbf", 0.3).join(train.select("id", F.col("label").alias("want")), "id")
+    w = nested.ridge_fit(train, "rbf", 0.3, 1.0, Options(leaf=120))
+    got = nested.ridge_predict(df, w, "rbf", 0.3).join(train.select("id", F.col("label").alias("want")), "id")
     assert got.where("label = want").count() > 370
 
 
+def test_colors(spark):
+    pairs = [(a, b) for a in range(20) for b in range(20) if abs(a - b) <= 2]
+    color = dict(blocks.colors(spark.createDataFrame(pairs, "node_m long, node_n long")).collect())
+    assert len(color) == 20 and all(color[a] != color[b] for a in range(20) for b in range(20) if 0 < abs(a - b) <= 4)
+
+
 def test_near_neighbours(cloud):
     x, df = cloud
     c = cluster(df, 50).cache()
@@ -128,11 +222,3 @@ def test_eigenpairs(spark):
     want = want[np.argsort(-np.abs(want))[:2]]
     v = _vector(vectors, 10, "v0")
     assert errors.max() <= 1e-8 and np.allclose(values, want) and np.allclose(a @ v, values[0] * v)
-
-
-def test_eigenvalue_query(spark):
-    rows = queries.points.parts(spark, SF).collect()
-    x = np.array([r.x for r in rows], float)
-    want = np.linalg.eigvalsh(kernels.block("rbf", x, x, 1.0))[::-1][:3]
-    got = queries.eigenvalues(spark, SF).orderBy("rank").collect()
-    assert all(r.converged for r in got) and np.allclose([r.value for r in got], want, atol=1e-3)
