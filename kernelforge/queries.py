@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelforge.operators import dense, solvers
+from kernelforge.operators import dense, lowrank, solvers
+from kernelforge.operators.butterfly import Butterfly
 from kernelforge.operators.nested import Nested, ridge_fit, ridge_predict
+from kernelforge.operators.peeling import Peeled
 from kernelforge.options import Options
 from kernelforge.plans import blocks
 from kernelforge.plans.cluster import cluster, tree
@@ -201,11 +203,51 @@ def eigenvalues(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, float(v), bool(e <= 1e-7)) for i, (v, e) in enumerate(zip(values, errors, strict=True))], "rank int, value double, converged boolean").select("rank", F.round("value", 3).alias("value"), "converged")
 
 
+def _stored(method: str, transpose: bool = False):
+    def query(spark, sf_dir: str) -> DataFrame:
+        """Far blocks of a strong plan compressed one by one and stored, near ones dense; then a product, of the transposed matrix if asked."""
+        p = points.parts(spark, sf_dir)
+        c = cluster(p.select("id", "x"), 100, "ckd")
+        blocks_ = lowrank.compress(c, blocks.hierarchical(tree(c), 2.1), "inverse_multiquadric", 1.0, 1e-12, method)
+        return lowrank.multiply(c, blocks_, p, "inverse_multiquadric", transpose).select("id", F.round("y", 2).alias("y"))
+
+    return query
+
+
+def far_norms(spark, sf_dir: str) -> DataFrame:
+    """Frobenius norms of a plan's far blocks by level, from their factors."""
+    c = cluster(points.parts(spark, sf_dir).select("id", "x"), 60, "ckd")
+    made = lowrank.compress(c, blocks.hierarchical(tree(c), 2.1), "inverse_multiquadric", 1.0, 1e-10, "aca").where("kind = 'low_rank'")
+    return made.groupBy("level").agg(F.count("*").alias("blocks"), F.round(F.sqrt(F.sum("norm2")), 4).alias("norm"))
+
+
+def _waves(kernel: str):
+    def query(spark, sf_dir: str) -> DataFrame:
+        """Places of the parts in the unit interval against frequencies about 0, as many."""
+        p = points.parts(spark, sf_dir)
+        n = p.count()
+        rows = p.select("id", F.array((F.col("id") - 1) / F.lit(float(n))).alias("x"))
+        cols = p.select("id", F.array((F.col("id") - 1 - F.lit(n // 2)).cast("double")).alias("x"), "w")
+        return Butterfly(rows, cols, kernel, 1.0, Options(leaf=64, tol=1e-12)).multiply(cols).select("id", F.round("y", 2).alias("y"), F.round("yi", 2).alias("yi"))
+
+    return query
+
+
+def black_box(spark, sf_dir: str) -> DataFrame:
+    """A matrix rebuilt from its products alone, then applied."""
+    p = points.parts(spark, sf_dir)
+    c = cluster(p.select("id", "x"), 250, "ckd")
+    operator = Nested(p, "polynomial", 1.0, 2.0, Options(leaf=250, tol=1e-13)).multiply
+    y = Peeled(operator, c, 1e-9, 10).multiply(p.select("id", F.array("w").alias("w")))
+    return y.select("id", F.round(F.col("y")[0], 2).alias("y"))
+
+
 QUERIES = {f"multiply_{k}": _multiply(k, h) for k, (h, _) in FORMS.items()}
 QUERIES |= {f"cluster_{k}": _cluster(k) for k in ("natural", "ckd", "tm")}
 QUERIES |= {f.__name__: f for f in (norms, extract, nearest, gram_distance, tree_shape, hodlr_plan, h_plan, blr_plan, near_nearest, cluster_lineitem, cluster_gram, periodic_plan)}
 QUERIES |= {f.__name__: f for f in (hodlr_multiply_parts, h_multiply, hodlr_multiply_complex, hodlr_solve, hodlr_solve_preconditioned, hodlr_logdet, hodlr_entries, hodlr_structure, ridge, composed, eigenvalues)}
 QUERIES |= {f"solve_{m}": _solve(m) for m in ("gmres", "tfqmr")}
+QUERIES |= {"stored_multiply": _stored("merged"), "stored_multiply_transposed": _stored("batch_aca", True), "far_norms": far_norms, "butterfly_fourier": _waves("fourier"), "butterfly_fio": _waves("fio"), "black_box": black_box}
 
 
 _PARTS = "SELECT p_partkey AS id, p_size/50.0 AS x1, p_retailprice/2000.0 AS x2, p_partkey % 7 / 7.0 AS w FROM part"
@@ -326,4 +368,12 @@ ORACLE_SQL |= {
     "ridge": f"{_FIT}{_cg_sql(30)} SELECT a.id, round(sum(s30.x * CASE WHEN {_RBF3[0]} THEN 0.0 ELSE {_RBF3[1]} END), 5) AS y FROM p a, b JOIN s30 ON s30.id = b.id WHERE a.id % 5 = 0 GROUP BY a.id",
     "eigenvalues": f"{_POINTS}, b AS (SELECT id FROM p), k AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {FORMS['rbf'][1]} AS v FROM p a, p b){_eigen_sql(3, 12)} "
     + " UNION ALL ".join(f"SELECT {e + 1}::INT AS rank, round(value, 3) AS value, true AS converged FROM l{e}" for e in range(3)),
+    "stored_multiply": f"{_POINTS} SELECT a.id, round(sum({_IMQ} * b.w), 2) AS y FROM p a, p b GROUP BY a.id",
+    "stored_multiply_transposed": f"{_POINTS} SELECT a.id, round(sum({_IMQ} * b.w), 2) AS y FROM p a, p b GROUP BY a.id",
+    "far_norms": _H_PLAN.split("SELECT p.level, kind")[0] + ", x AS (SELECT id, [x1, x2]::DOUBLE[] AS x, node FROM leaf), deep AS (SELECT max(level) AS d FROM tree) "
+    + f"SELECT p.level, count(DISTINCT (m, n)) AS blocks, round(sqrt(sum(pow({_IMQ}, 2))), 4) AS norm FROM plan p, deep JOIN x a ON a.node >> (d - p.level) = p.m JOIN x b ON b.node >> (d - p.level) = p.n WHERE kind = 'low_rank' GROUP BY p.level",
+    "black_box": f"{_POINTS} SELECT a.id, round(sum((pow(list_dot_product(a.x, b.x) + 1.0, 2) + CASE WHEN a.id = b.id THEN 2.0 ELSE 0.0 END) * b.w), 2) AS y FROM p a, p b GROUP BY a.id",
+} | {
+    f"butterfly_{name}": f"WITH c AS (SELECT count(*) AS n FROM part), p AS (SELECT p_partkey AS id, (p_partkey - 1)/n::DOUBLE AS x, (p_partkey - 1 - n // 2)::DOUBLE AS k, p_partkey % 7 / 7.0 AS w FROM part, c) SELECT id, round(sum(cos(f) * w), 2) AS y, round(sum(sin(f) * w), 2) AS yi FROM (SELECT a.id, b.w, 2*pi()*({phase}) AS f FROM p a, p b) GROUP BY id"
+    for name, phase in (("fourier", "-a.x*b.k"), ("fio", "a.x*b.k + (2 + sin(2*pi()*a.x))/8*abs(b.k)"))
 }
