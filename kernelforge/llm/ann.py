@@ -2,15 +2,16 @@
 
 Rows go to shards of about SHARD rows by a hash of their id, so shards are even
 whatever the data. A shard's equal vectors are one node with its ids of least
-value (a query can't use more than k + 1 of them). Nodes get levels from the id's hash; in
-every layer a node links to diverse near ones among those before it, and back,
-as incremental insertion does when its search is exact. The graph is stored as
-flat neighbour arrays, one row a shard. Queries go in blocks to every shard,
+value (a query can't use more than k + 1 of them). Nodes get levels from the id's hash and are
+inserted by searching the graph so far, in batches that are at most as large as what stands: a batch's searches go in step, its
+members also see each other, and a node links to diverse ones of those found, and back, in each of its
+layers. The graph is stored as flat neighbour arrays, one row a shard. Queries go in blocks to every shard,
 where all of a block descend in step; shard results merge by distance and id.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do rows whose id is null; a query meets only vectors of its length; ties go
-to the smaller id; a repeated query row counts once; extra columns play no part.
+to the smaller id; of rows that repeat an id a query meets the nearest once, and asks with the least
+vector; vectors of doubles are searched and measured as doubles; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -19,113 +20,65 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kernelforge.llm.shared import table
 from kernelforge.llm.text import U64, mix
 
-SHARD, LINKS, BEAM, BUILD = 2048, 12, 96, 48
-#: Queries that one task takes through a shard.
-BLOCK = 2048
-_INDEX = "dim int, shard long, ids binary, of binary, vectors binary, layers array<struct<nodes:binary,links:binary>>"
+SHARD, LINKS, BEAM, BUILD = 16_384, 20, 96, 96
+#: Queries that one task takes through a shard, nodes inserted at once, and numbers that a step of searches gathers.
+BLOCK, BATCH, AT_ONCE = 2048, 1024, 1 << 22
+_INDEX = "dim int, shard long, ids binary, of binary, vectors binary, entry int, layers array<struct<nodes:binary,links:binary>>"
+
+
+def _scale(*xs: np.ndarray) -> float:
+    """A power of two that numbers too large to be squared are divided by, which changes no order; 1 as a rule."""
+    most = max((float(np.abs(x).max()) for x in xs if x.size), default=0.0)
+    return 1.0 if most <= (1e15 if xs[0].dtype == np.float32 else 1e120) else 2.0 ** np.floor(np.log2(most))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None])
 
 
-def _diverse(near: np.ndarray, d: np.ndarray, all_d: np.ndarray, most: int) -> list[int]:
+def _diverse(near: np.ndarray, d: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     """Of candidates in order of distance, those nearer to the node than to any chosen; then the nearest of the rest."""
-    chosen: list[int] = []
-    rest = []
-    for c, x in zip(near.tolist(), d.tolist(), strict=True):
+    if len(near) <= 1:
+        return near
+    between, least = _distances(x[near], x[near]), np.full(len(near), np.inf)
+    chosen = []
+    for c in range(len(near)):
         if len(chosen) == most:
             break
-        if chosen and all_d[c, chosen].min() < x:
-            rest.append(c)
-        else:
+        if least[c] >= d[c]:
             chosen.append(c)
-    return chosen + rest[: most - len(chosen)]
-
-
-def build_layer(all_d: np.ndarray, nodes: np.ndarray, links: int) -> np.ndarray:
-    """Neighbours of the layer's nodes, [nodes, 2 * links], -1 where there is none."""
-    n, most = len(nodes), 2 * links
-    d = all_d[np.ix_(nodes, nodes)]
-    forward: list[list[int]] = [[]]
-    for i in range(1, n):
-        before = d[i, :i]
-        near = np.argpartition(before, BUILD)[:BUILD] if i > BUILD else np.arange(i)
-        near = near[np.argsort(before[near], kind="stable")]
-        forward.append(_diverse(near, before[near], d, links))
-    both = [set(x) for x in forward]
-    for i, x in enumerate(forward):
-        for j in x:
-            both[j].add(i)
-    out = np.full((n, most), -1, np.int32)
-    for i, x in enumerate(both):
-        near = np.fromiter(x, np.int64, len(x))
-        near = near[np.argsort(d[i, near], kind="stable")]
-        keep = near if len(near) <= most else _diverse(near, d[i, near], d, most)
-        out[i, : len(keep)] = nodes[keep]
-    return out
+            np.minimum(least, between[c], out=least)
+    rest = np.setdiff1d(np.arange(len(near)), chosen)[: most - len(chosen)]
+    return near[np.concatenate((chosen, rest)).astype(np.int64)]
 
 
-def build_shard(ids: np.ndarray, x: np.ndarray, keep: int) -> dict:
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    _, first, inverse = np.unique(x.view(np.void if x.dtype.itemsize == 0 else f"V{x.dtype.itemsize * x.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
-    nodes = x[first]
-    rank = np.argsort(inverse, kind="stable")
-    of = inverse[rank]
-    place = np.arange(len(of)) - np.searchsorted(of, of)
-    held = rank[place < keep]
-    h = (mix(ids[first].view(U64)) >> U64(11)).astype(np.float64) / (1 << 53)
-    level = np.floor(-np.log(np.maximum(h, 1e-12)) / np.log(LINKS)).astype(int)
-    all_d = _distances(nodes.astype(np.float64), nodes.astype(np.float64)).astype(np.float32)
-    layers = []
-    for lev in range(level.max() + 1):
-        members = np.flatnonzero(level >= lev)
-        layers.append({"nodes": members.astype(np.int32).tobytes(), "links": build_layer(all_d, members, LINKS).tobytes()})
-    return {"ids": ids[held].tobytes(), "of": inverse[held].astype(np.int32).tobytes(), "vectors": nodes.tobytes(), "layers": layers}
+def _greedy(x: np.ndarray, links: np.ndarray, q: np.ndarray, now: np.ndarray, best: np.ndarray) -> None:
+    """Moves each query to its nearest neighbour while that is nearer; now and best change in place."""
+    moving = np.arange(len(q))
+    while len(moving):
+        near = links[now[moving]]
+        d = ((x[near] - q[moving][:, None]) ** 2).sum(-1)
+        d[near < 0] = np.inf
+        k = d.argmin(1)
+        least = d[np.arange(len(moving)), k]
+        better = least < best[moving]
+        moving = moving[better]
+        now[moving], best[moving] = near[better, k[better]], least[better]
 
 
-def search_shard(index: dict, dim: int, q: np.ndarray, beam: int) -> np.ndarray:
-    """The nodes that each query's beam ends with, [queries, beam], -1 where there are fewer."""
-    x = np.frombuffer(index["vectors"], np.float32).reshape(-1, dim)
-    n, m = len(x), len(q)
-    at = np.arange(m)
-    tables = []
-    for layer in index["layers"]:
-        members, links = np.frombuffer(layer["nodes"], np.int32), np.frombuffer(layer["links"], np.int32).reshape(-1, 2 * LINKS)
-        full = links if len(members) == n else np.full((n, 2 * LINKS), -1, np.int32)
-        if len(members) < n:
-            full[members] = links
-        tables.append(full)
-
-    def distance(rows, cols):
-        """To nodes cols [rows, any]; infinite where -1."""
-        d = ((x[cols] - q[rows][:, None]) ** 2).sum(-1)
-        d[cols < 0] = np.inf
-        return d
-
-    top = np.frombuffer(index["layers"][-1]["nodes"], np.int32)[0]
-    now = np.full(m, top)
-    best = distance(at, now[:, None])[:, 0]
-    for links in reversed(tables[1:]):
-        moving = at
-        while len(moving):
-            near = links[now[moving]]
-            d = distance(moving, near)
-            k = d.argmin(1)
-            least = d[np.arange(len(moving)), k]
-            better = least < best[moving]
-            moving = moving[better]
-            now[moving], best[moving] = near[better, k[better]], least[better]
-    beam_d, beam_n, done = np.full((m, beam), np.inf, np.float32), np.full((m, beam), -1), np.zeros((m, beam), bool)
+def _beams(x: np.ndarray, links: np.ndarray, q: np.ndarray, now: np.ndarray, best: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distances, nodes) of the beam that each query ends with, -1 where there are fewer, and the number of distances taken."""
+    m, n = len(q), len(x)
+    beam_d, beam_n, done = np.full((m, beam), np.inf, x.dtype), np.full((m, beam), -1), np.zeros((m, beam), bool)
     beam_d[:, 0], beam_n[:, 0] = best, now
     seen = np.zeros((m, n), bool)
-    seen[at, now] = True
-    active = at
+    seen[np.arange(m), now] = True
+    active, taken = np.arange(m), 0
     while len(active):
         open_d = np.where(done[active] | (beam_n[active] < 0), np.inf, beam_d[active])
         k = open_d.argmin(1)
@@ -134,36 +87,132 @@ def search_shard(index: dict, dim: int, q: np.ndarray, beam: int) -> np.ndarray:
         if not len(active):
             break
         done[active, k] = True
-        near = tables[0][beam_n[active, k]].astype(np.int64)
+        near = links[beam_n[active, k]].astype(np.int64)
         near[seen[active[:, None], np.maximum(near, 0)]] = -1
         r, c = np.nonzero(near >= 0)
         seen[active[r], near[r, c]] = True
-        d = np.concatenate((beam_d[active], distance(active, near).astype(np.float32)), axis=1)
+        taken += len(r)
+        found = np.full(near.shape, np.inf, x.dtype)
+        found[r, c] = ((x[near[r, c]] - q[active[r]]) ** 2).sum(-1)
+        d = np.concatenate((beam_d[active], found), axis=1)
         order = np.argpartition(d, beam - 1, axis=1)[:, :beam]
         nn, dd = np.concatenate((beam_n[active], near), axis=1), np.concatenate((done[active], np.zeros(near.shape, bool)), axis=1)
         rows = np.arange(len(active))[:, None]
         beam_d[active], beam_n[active], done[active] = d[rows, order], nn[rows, order], dd[rows, order]
-    return beam_n
+    return beam_d, beam_n, taken
+
+
+def _insert(x: np.ndarray, layers: list[np.ndarray], level: np.ndarray, new: np.ndarray, entry: int) -> None:
+    """Links new nodes into the layers' neighbour arrays, by search from the entry."""
+    q, now = x[new], np.full(len(new), entry)
+    best = ((q - x[entry]) ** 2).sum(1)
+    for lev in range(len(layers) - 1, -1, -1):
+        links, mine = layers[lev], np.flatnonzero(level[new] >= lev)
+        if not len(mine):
+            _greedy(x, links, q, now, best)
+            continue
+        found_d, found_n, _ = _beams(x, links, q, now, best, BUILD)
+        k = found_d.argmin(1)
+        now, best = found_n[np.arange(len(new)), k], found_d[np.arange(len(new)), k]
+        peers = new[mine]
+        among = _distances(x[peers], x[peers])
+        np.fill_diagonal(among, np.inf)
+        few = min(BUILD, len(mine) - 1)
+        close = np.argpartition(among, few - 1, axis=1)[:, :few] if few else np.zeros((len(mine), 0), np.int64)
+        back: dict[int, list[int]] = {}
+        for i, row in enumerate(mine):
+            held = found_n[row] >= 0
+            near = np.concatenate((found_n[row][held], peers[close[i]]))
+            d = np.concatenate((found_d[row][held], among[i, close[i]]))
+            order = np.argsort(d, kind="stable")[:BUILD]
+            chosen = _diverse(near[order], d[order], x, LINKS)
+            links[peers[i], : len(chosen)] = chosen
+            for c in chosen.tolist():
+                back.setdefault(c, []).append(int(peers[i]))
+        for c, more in back.items():
+            near = np.unique(np.concatenate((links[c][links[c] >= 0], more)))
+            near = near[near != c]
+            if len(near) > links.shape[1]:
+                d = ((x[near] - x[c]) ** 2).sum(1)
+                order = np.argsort(d, kind="stable")
+                near = _diverse(near[order], d[order], x, links.shape[1])
+            links[c] = -1
+            links[c, : len(near)] = near
+
+
+def build_shard(ids: np.ndarray, x: np.ndarray, keep: int) -> dict:
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    _, first, inverse = np.unique(x.view(f"V{x.dtype.itemsize * x.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+    nodes = x[first]
+    rank = np.argsort(inverse, kind="stable")
+    of = inverse[rank]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    held = rank[place < keep]
+    h = mix(ids[first].view(U64) ^ U64(0x5EED))
+    level = np.floor(-np.log(np.maximum((h >> U64(11)).astype(np.float64) / (1 << 53), 1e-12)) / np.log(LINKS)).astype(int)
+    # The highest node is the entry and comes first; the others in an order that says nothing about them.
+    turn = np.argsort(mix(h))
+    turn = np.concatenate(([level.argmax()], turn[turn != level.argmax()]))
+    layers = [np.full((len(nodes), 2 * LINKS), -1, np.int32) for _ in range(level.max() + 1)]
+    done, scaled = 1, nodes / nodes.dtype.type(_scale(nodes))
+    while done < len(turn):
+        new = turn[done : done + min(BATCH, done)]
+        _insert(scaled, layers, level, new, int(turn[0]))
+        done += len(new)
+    flat = []
+    for lev, links in enumerate(layers):
+        members = np.flatnonzero(level >= lev)
+        flat.append({"nodes": members.astype(np.int32).tobytes(), "links": links[members].tobytes()})
+    return {"ids": ids[held].tobytes(), "of": inverse[held].astype(np.int32).tobytes(), "vectors": nodes.tobytes(), "entry": int(turn[0]), "layers": flat}
+
+
+def search_shard(index: dict, dim: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, int]:
+    """The nodes that each query's beam ends with, [queries, beam], -1 where there are fewer; and the number of distances taken."""
+    x = np.frombuffer(index["vectors"], q.dtype).reshape(-1, dim)
+    scale, tables = q.dtype.type(_scale(x, q)), []
+    x, q = x / scale, q / scale
+    for layer in index["layers"]:
+        members, links = np.frombuffer(layer["nodes"], np.int32), np.frombuffer(layer["links"], np.int32).reshape(-1, 2 * LINKS)
+        full = links if len(members) == len(x) else np.full((len(x), 2 * LINKS), -1, np.int32)
+        if len(members) < len(x):
+            full[members] = links
+        tables.append(full)
+    out, taken, step = [], 0, max(16, AT_ONCE // (2 * LINKS * dim))
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        now, best = np.full(len(part), index["entry"]), ((part - x[index["entry"]]) ** 2).sum(1)
+        for links in reversed(tables[1:]):
+            _greedy(x, links, part, now, best)
+        _, nodes, n = _beams(x, tables[0], part, now, best, beam)
+        out.append(nodes)
+        taken += n
+    return np.concatenate(out) if out else np.zeros((0, beam), np.int64), taken
+
+
+def _kind(rows: DataFrame, vector: str) -> str:
+    """The element type that vectors are searched in: their own if it is double, else float."""
+    return "double" if getattr(rows.schema[vector].dataType, "elementType", None) == T.DoubleType() else "float"
 
 
 def _valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col("v")
     wrong = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
-    rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{_kind(rows, vector)}>").alias("v"))
     return rows.where(v.isNotNull() & ~wrong & F.exists(v, lambda e: e != 0)).withColumn("dim", F.size("v"))
 
 
 def build(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, keep: int = 11) -> DataFrame:
     """The index: a row for each shard, with flat neighbour arrays for each layer."""
-    good = _valid(rows, key, vector)
+    good, dtype = _valid(rows, key, vector), _kind(rows, vector) == "double" and np.float64 or np.float32
     n = good.count()
     shards = max(1, -(-n // shard))
 
     def one(t: pa.Table) -> pa.Table:
-        dim, x = t["dim"][0].as_py(), np.array(t["v"].combine_chunks().flatten(), np.float32).reshape(len(t), -1)
+        dim, x = t["dim"][0].as_py(), np.array(t["v"].combine_chunks().flatten(), dtype).reshape(len(t), -1)
         index = build_shard(t["id"].to_numpy(), x, keep)
         kind = pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())]))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [t["shard"][0].as_py()], **{k: pa.array([index[k]], pa.binary()) for k in ("ids", "of", "vectors")}, "layers": pa.array([index["layers"]], kind)})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [t["shard"][0].as_py()], **{k: pa.array([index[k]], pa.binary()) for k in ("ids", "of", "vectors")}, "entry": pa.array([index["entry"]], pa.int32()), "layers": pa.array([index["layers"]], kind)})
 
     return good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("dim", "shard").applyInArrow(one, _INDEX)
 
@@ -171,7 +220,10 @@ def build(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", shard
 def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by Euclidean distance, but itself."""
     index = table(build(rows, key, vector, shard, k + 1), "graphs")
-    asked = table(_valid(rows.where(is_query), key, vector).dropDuplicates(["id"]), "queries")
+    dtype = np.float64 if _kind(rows, vector) == "double" else np.float32
+    # Of rows that repeat an id, the least vector; a vector is told apart from longer ones by its length.
+    asked = _valid(rows.where(is_query), key, vector).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = table(asked, "queries")
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     asked = asked.join(index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard")), "dim")
@@ -182,20 +234,23 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         row = right.to_pylist()[0]
         dim, ids, of = row["dim"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["of"], np.int32)
-        x = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim).astype(np.float64)
-        q, q_ids = np.array(left["v"].combine_chunks().flatten(), np.float32).reshape(len(left), dim), left["id"].to_numpy()
-        found = search_shard(row, dim, q, max(beam, k + 1))
+        x = np.frombuffer(row["vectors"], dtype).reshape(-1, dim).astype(np.float64)
+        q, q_ids = np.array(left["v"].combine_chunks().flatten(), dtype).reshape(len(left), dim), left["id"].to_numpy()
+        scale = _scale(x, q.astype(np.float64))
+        found, _ = search_shard(row, dim, q, max(beam, k + 1))
         cut = np.searchsorted(of, np.arange(len(x) + 1))  # ids stand in order of node
         out_q, out_i, out_d = [], [], []
         for i in range(len(q)):
             nodes = found[i][found[i] >= 0]
-            d = np.sqrt(((x[nodes] - q[i].astype(np.float64)) ** 2).sum(1))
+            d = np.sqrt(((x[nodes] / scale - q[i].astype(np.float64) / scale) ** 2).sum(1)) * scale
             count = cut[nodes + 1] - cut[nodes]
             each = ids[np.concatenate([np.arange(cut[v], cut[v + 1]) for v in nodes])]
             dist = np.repeat(d, count)
-            other = each != q_ids[i]
-            each, dist = each[other], dist[other]
-            best = np.lexsort((each, dist))[:k]
+            order = np.lexsort((each, dist))
+            each, dist = each[order], dist[order]
+            once = np.zeros(len(each), bool)
+            once[np.unique(each, return_index=True)[1]] = True  # the nearest row of a repeated id
+            best = np.flatnonzero(once & (each != q_ids[i]))[:k]
             out_q.append(np.full(len(best), q_ids[i]))
             out_i.append(each[best])
             out_d.append(dist[best])

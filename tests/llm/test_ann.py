@@ -39,3 +39,30 @@ def test_edges(spark):
     assert recall(got, want) == 1
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted((q, k + 1, i) for q, d in want.items() for k, (_, i) in enumerate(d))
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_searches_meet_a_part_of_the_shard():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(5000, 16)).astype(np.float32)
+    index, q = ann.build_shard(np.arange(5000), x, 11), rnd.normal(size=(60, 16)).astype(np.float32)
+    found, taken = ann.search_shard(index, 16, q, 48)
+    nodes = np.frombuffer(index["vectors"], np.float32).reshape(-1, 16)
+    best = np.argsort(((nodes[None] - q[:, None]) ** 2).sum(-1), axis=1)[:, :10]
+    assert taken / 60 < 1000 and np.mean([len(set(b) & set(f)) / 10 for b, f in zip(best, found, strict=True)]) > 0.95
+
+
+def test_many_shards_and_repeated_rows(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(2500)]
+    frame = spark.createDataFrame(rows + rows[:300] + [(7, [9.0] * 8)], "vec_id long, embedding array<double>")
+    want = brute([(i, v) for i, v in rows if i != 7] + [(7, rows[7][1])])
+    got = ann.nearest(frame, F.col("vec_id") % 100 == 0, shard=100).collect()  # more than 20 shards
+    assert recall(got, want) > 0.97 and len({(r.query_id, r.vec_id) for r in got}) == len(got) == sum(map(len, want.values()))
+    near = {(q, i): x for q, d in want.items() for x, i in d}
+    assert all(near[r.query_id, r.vec_id] == r.score or r.vec_id == 7 for r in got if (r.query_id, r.vec_id) in near)  # doubles, exactly
+
+
+def test_large_doubles(spark):
+    rows = [(i, [1e200 + i * 1e190, 1.0]) for i in range(100, 130)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=3).collect()
+    assert len(got) == 3
