@@ -23,7 +23,7 @@ from kernelforge.functions.kernels import block, is_complex
 from kernelforge.operators.blocks_algebra import interpolative
 from kernelforge.options import Options
 from kernelforge.plans.cluster import cluster, depth_of
-from kernelforge.shared import written
+from kernelforge.shared import spread, written
 
 _STEP = "step int, m long, n long, c int, r int, cl int, t binary, s binary"
 
@@ -77,7 +77,7 @@ class Butterfly:
         out = []
         for step in range(depth + 1):
             rows = now.join(proxies.where(f"level = {step}").select("m", "rows"), "m")
-            made = written(rows.mapInArrow(lambda b, step=step: compress(b, step), _STEP))
+            made = written(spread(rows, "m", "n").mapInArrow(lambda b, step=step: compress(b, step), _STEP))
             out.append(made)
             if step < depth:
                 # Both children of the rows' node take the merged skeletons of the columns' two children.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernelforge.functions.kernels import block, entry
+from kernelforge.shared import spread
 
 
 def tiles(points: DataFrame, size: int, *cols: str) -> DataFrame:
@@ -89,4 +90,4 @@ def near_nearest(clustered: DataFrame, near: DataFrame, k: int) -> DataFrame:
     leaves = clustered.groupBy("node").agg(F.collect_list(F.struct("id", "x")).alias("members"))
     pairs = near.join(leaves.select(F.col("node").alias("node_m"), F.col("members").alias("rows")), "node_m")
     pairs = pairs.join(leaves.select(F.col("node").alias("node_n"), F.col("members").alias("cols")), "node_n")
-    return _least(pairs.select("rows", "cols"), k)
+    return _least(spread(pairs, "node_m", "node_n").select("rows", "cols"), k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kernelforge.functions.kernels import block, is_complex
 from kernelforge.operators.blocks_algebra import aca, interpolative, pinv, pivoted_qr, rrqr, svd
+from kernelforge.shared import spread
 
 Factors = tuple[np.ndarray, np.ndarray]
 
@@ -167,7 +168,7 @@ def compress(clustered: DataFrame, plan: DataFrame, kernel: str, h, tol: float,
                 out = (r["node_m"], r["node_n"], r["level"], r["kind"], len(x), len(y), v.shape[0], np.ascontiguousarray(u).tobytes(), np.ascontiguousarray(v).tobytes(), square)
                 yield pa.RecordBatch.from_arrays([pa.array([w], k) for w, k in zip(out, kinds, strict=True)], ["node_m", "node_n", "level", "kind", "m", "n", "rank", "u", "v", "norm2"])
 
-    return both.mapInArrow(run, "node_m long, node_n long, level int, kind string, m int, n int, rank int, u binary, v binary, norm2 double")
+    return spread(both, "node_m", "node_n").mapInArrow(run, "node_m long, node_n long, level int, kind string, m int, n int, rank int, u binary, v binary, norm2 double")
 
 
 def multiply(clustered: DataFrame, stored: DataFrame, w: DataFrame, kernel: str, transpose: bool = False) -> DataFrame:

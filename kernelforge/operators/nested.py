@@ -31,7 +31,7 @@ from kernelforge.operators.blocks_algebra import interpolative
 from kernelforge.options import Options
 from kernelforge.plans import blocks
 from kernelforge.plans.cluster import cluster, tree
-from kernelforge.shared import written
+from kernelforge.shared import spread, written
 
 CHUNK = 8
 _NODE = "node long, level int, c int, r int, rl int, x binary, t binary, s binary"
@@ -109,7 +109,7 @@ class Nested:
                         cols, p = interpolative(a, tol, most) if a.size else (np.zeros(0, int), np.zeros((0, len(x))))
                         yield pa.RecordBatch.from_arrays([pa.array([r["node"]]), pa.array([level], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([len(cols)], pa.int32()), pa.array([r["rl"]], pa.int32()), pa.array([r["x"]], pa.binary()), pa.array([_outer(np.ascontiguousarray(p.T))], pa.binary()), pa.array([_outer(x[cols])], pa.binary())], [f.split()[0] for f in _NODE.split(", ")])
 
-            made = written(rows.mapInArrow(skeletons, _NODE))
+            made = written(spread(rows, "node").mapInArrow(skeletons, _NODE))
             out.append(made)
             cands = made.groupBy(F.shiftright("node", 1).alias("node")).agg(F.sum("r").cast("int").alias("c"), F.min_by("r", "node").alias("rl"), F.concat(F.min_by("s", "node"), F.max_by("s", "node")).alias("x"))
         self.top = written(cands)  # the root's candidates: its children's skeletons
@@ -168,7 +168,7 @@ class Nested:
 
             part = nodes.where(F.col("level").between(a, b)).withColumn("top", F.expr(f"shiftright(node, level - {a})"))
             fed = feed.withColumn("top", F.expr(f"shiftright(node, level - {a})"))
-            got = written(part.groupBy("top").cogroup(fed.groupBy("top")).applyInArrow(climb, _VECTOR))
+            got = written(spread(part, "top").groupBy("top").cogroup(spread(fed, "top").groupBy("top")).applyInArrow(climb, _VECTOR))
             out.append(got)
             feed = got.where(f"level = {a} and kind = 0")
         return reduce(DataFrame.union, out)
@@ -203,7 +203,7 @@ class Nested:
             part = nodes.where(F.col("level").between(a, b)).withColumn("top", F.expr(f"shiftright(node, level - {a})"))
             fed = given.where(F.col("level").between(a, b)).select("node", "level", "kind", "v")
             fed = (fed if carried is None else fed.union(carried)).withColumn("top", F.expr(f"shiftright(node, level - {a})"))
-            carried = written(part.groupBy("top").cogroup(fed.groupBy("top")).applyInArrow(descend, _VECTOR))
+            carried = written(spread(part, "top").groupBy("top").cogroup(spread(fed, "top").groupBy("top")).applyInArrow(descend, _VECTOR))
         return carried
 
     def _by_id(self, vectors: DataFrame, k: int, scalar: bool, name: str) -> DataFrame:
@@ -238,7 +238,8 @@ class Nested:
                 yield from _vectors(rows).to_batches()
 
         side = lambda s: self.leaves.select(F.col("node").alias(f"node_{s}"), F.col("x").alias(f"x{s}"))
-        return self.dense.join(side("m"), "node_m").join(side("n"), "node_n").join(leaf.select(F.col("node").alias("node_n"), "v"), "node_n").mapInArrow(apply, _VECTOR)
+        both = self.dense.join(side("m"), "node_m").join(side("n"), "node_n").join(leaf.select(F.col("node").alias("node_n"), "v"), "node_n")
+        return spread(both, "node_m", "node_n").mapInArrow(apply, _VECTOR)
 
     def _coupled(self, z: DataFrame, k: int) -> DataFrame:
         """Far blocks: each node's sum over its partners, in skeletons."""
@@ -320,7 +321,7 @@ class Nested:
             part = self.nodes.where(F.col("level").between(a, b)).withColumn("top", F.expr(f"shiftright(node, level - {a})"))
             feed = self.nodes.limit(0).select("node", "level", "r", F.lit(None).cast("binary").alias("d")) if feed is None else feed
             fed = feed.withColumn("top", F.expr(f"shiftright(node, level - {a})"))
-            out.append(written(part.groupBy("top").cogroup(fed.groupBy("top")).applyInArrow(climb, schema)))
+            out.append(written(spread(part, "top").groupBy("top").cogroup(spread(fed, "top").groupBy("top")).applyInArrow(climb, schema)))
             feed = out[-1].where(f"level = {a}").select("node", "level", "r", "d")
         whole = self.leaves.select("node", F.lit(0).alias("level"), F.lit(0).alias("r"), F.lit(0).alias("rl"), "x", F.lit(None).cast("binary").alias("d"))
         if self.depth:

@@ -1,8 +1,8 @@
 """Cluster trees by recursive median bisection.
 
-Groups of more than TASK points are split level by level: ranks come from a range sort (a row's number in its
+Groups of more than TASK coordinates are split level by level: ranks come from a range sort (a row's number in its
 partition plus the sizes of the group's earlier partitions), so no group is gathered into one task even at the root.
-A group of at most TASK points is finished in one task, with all its levels, so the rounds are log2(points / TASK).
+A smaller group is finished in one task, with all its levels, so the rounds are log2(coordinates / TASK).
 
 Orders: natural (by id), ckd (the coordinate of largest extent), tm (distance to the point farthest from the centroid), tm_gram
 (angular distance, by the kernel alone, to the point of largest mean distance to 50 sampled ones). Ties go by id.
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from kernelforge.functions import kernels
 from kernelforge.shared import written
 
-TASK, SAMPLE = 200_000, 50
+#: Coordinates that one task holds, and points that stand for a group.
+TASK, SAMPLE = 4_000_000, 50
 
 
 def depth_of(n: int, leaf: int) -> int:
@@ -104,11 +105,11 @@ def _matrix(t: pa.Table, name: str = "x") -> np.ndarray:
     return np.asarray(col.flatten(), float).reshape(len(t), -1)
 
 
-def cluster(points: DataFrame, leaf: int = 200, order: str = "ckd", gram: tuple[str, float] | None = None, task: int = TASK) -> DataFrame:
-    """points with node (heap number of the leaf, root 1), new_id (place in tree order, from 1) and depth; gram is the kernel of tm_gram and its parameter."""
+def cluster(points: DataFrame, leaf: int = 200, order: str = "ckd", gram: tuple[str, float] | None = None, task: int | None = None) -> DataFrame:
+    """points with node (heap number of the leaf, root 1), new_id (place in tree order, from 1) and depth; gram is the kernel of tm_gram and its parameter, task the points that one task takes."""
     points = written(points.withColumn("x", F.col("x").cast("array<double>")))
     n, dim = points.agg(F.count("*"), F.max(F.size("x"))).first()
-    depth, done = depth_of(n, leaf), 0
+    depth, done, task = depth_of(n, leaf), 0, task or TASK // max(1, dim or 1)
     now = points.withColumn("node", F.lit(1).cast("long"))
     while done < depth and n >> done > task:
         sorted_ = ranked(split_keys(now, order, dim, gram), "node", "key", "id")
@@ -144,10 +145,11 @@ def cluster(points: DataFrame, leaf: int = 200, order: str = "ckd", gram: tuple[
     return last.join(heads, "node").withColumn("new_id", F.col("rank") + F.col("head")).withColumn("depth", F.lit(depth)).drop("rank", "head")
 
 
-def tree(clustered: DataFrame, task: int = TASK) -> DataFrame:
+def tree(clustered: DataFrame, task: int | None = None) -> DataFrame:
     """node, level, n, center, radius of every node. Subtrees of at most ``task`` points are summed up in one task each; above them points are aggregated level by level."""
     n, dim, depth = clustered.agg(F.count("*"), F.max(F.size("x")), F.max("depth")).first()
     dim, depth, top = dim or 0, depth or 0, 0
+    task = task or TASK // max(1, dim)
     while top < depth and n >> top > task:
         top += 1
 

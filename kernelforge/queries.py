@@ -199,7 +199,7 @@ def composed(spark, sf_dir: str) -> DataFrame:
 def eigenvalues(spark, sf_dir: str) -> DataFrame:
     """The three largest, each with whether it has converged."""
     p = points.parts(spark, sf_dir)
-    values, _, errors = solvers.eigenpairs(_ridge(p, 0.0), p.select("id"), 3, 40, 1e-7)
+    values, _, errors = Nested(p, "rbf", 1.0, 0.0, Options(leaf=100, tol=1e-11)).eigenpairs(3, steps=40, tol=1e-7)
     return spark.createDataFrame([(i + 1, float(v), bool(e <= 1e-7)) for i, (v, e) in enumerate(zip(values, errors, strict=True))], "rank int, value double, converged boolean").select("rank", F.round("value", 3).alias("value"), "converged")
 
 

@@ -39,3 +39,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by keys to as many partitions as the session names, however few bytes it has: for rows that are much work each, which adaptive execution would put together."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
