@@ -2,9 +2,9 @@
 
 Calls and results meet by a hash join on (conversation, identifier), where the
 first call of an identifier counts. A result depends on the message that holds its call, a call
-on the results (or calls) named in its depends_on. Messages are peeled off the
-graph level by level, each level a distributed step, so a long conversation is
-never gathered into one task. Arguments are checked against the tool's
+on the results (or calls) named in its depends_on. Levels order them: chains are followed by pointers of doubling
+reach, and messages with several dependencies are peeled off level by level, each round a distributed step, so a long conversation
+is never gathered into one task, and a chain of n messages takes log2(n) rounds. Arguments are checked against the tool's
 JSON Schema (KEYWORDS), and every message is one line of canonical JSON as in RFC 8785:
 keys in order of UTF-16, no spaces, numbers as ECMAScript writes them (integers keep all digits).
 
@@ -131,22 +131,41 @@ def canonical(value: object) -> str:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(conv, turn, level): each message's level, 0 for those that depend on nothing; those on or behind a cycle are left out."""
-    edges = table(edges.distinct(), "links")
-    left, depth, out = edges, 0, None
-    some = edges.select("conv", "turn").union(edges.select("conv", F.col("on").alias("turn"))).distinct()
-    waiting = table(some, "waiting")
-    while True:
-        blocked = left.select("conv", "turn").distinct()
-        ready = table(waiting.join(blocked, ["conv", "turn"], "left_anti").select("conv", "turn", F.lit(depth).alias("level")), "level")
-        if not ready.limit(1).count():
+    """(conv, turn, level): the longest way to a message that depends on nothing, which has level 0; messages on or behind a cycle are left out.
+
+    Messages with one dependency follow pointers that double their reach each round, to one that has none or several; only those with
+    several are peeled off round by round, over edges that the pointers have shortened.
+    """
+    edges, place = table(edges.distinct(), "links"), ["conv", "turn"]
+    degree = table(edges.groupBy(*place).agg(F.count("*").alias("n"), F.min("on").alias("to")), "degrees")
+    single, many = degree.where("n = 1"), degree.where("n > 1").select(*place)
+    jump = single.select(*place, "to", F.lit(1).cast("long").alias("dist"))
+    for _ in range(single.count().bit_length() + 1):
+        further = jump.select("conv", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"))
+        moved = jump.join(further, ["conv", "to"], "left")
+        jump = table(moved.select(*place, F.coalesce("next", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("open")), "pointers")
+        if not jump.where("open").limit(1).count():
             break
-        out = ready if out is None else out.union(ready)
-        left = table(left.join(ready.select("conv", F.col("turn").alias("on")), ["conv", "on"], "left_anti"), "links")
-        waiting = table(waiting.join(ready, ["conv", "turn"], "left_anti"), "waiting")
-        depth += 1
-    free = nodes.join(some, ["conv", "turn"], "left_anti").select("conv", "turn", F.lit(0).alias("level"))
-    return free if out is None else free.union(out)
+    # After as many rounds as there are doublings, a pointer that still meets a single dependency goes round.
+    good = table(jump.select(*place, "to", "dist").join(single.select("conv", F.col("turn").alias("to")), ["conv", "to"], "left_anti").select(*place, "to", "dist"), "reached")
+    bound = degree.select("conv", F.col("turn").alias("to"), F.lit(True).alias("bound"))
+    known = table(many.withColumn("level", F.lit(0).cast("long")).limit(0), "level")
+    if many.limit(1).count():
+        short = good.select("conv", F.col("turn").alias("on"), "to", "dist")
+        state = edges.join(many, place, "left_semi").join(short, ["conv", "on"], "left").select(*place, F.coalesce("to", "on").alias("to"), (1 + F.coalesce("dist", F.lit(0))).cast("long").alias("w"))
+        state = table(state.join(bound, ["conv", "to"], "left").select(*place, "to", "w", F.when(F.col("bound").isNull(), F.col("w")).alias("value")), "junctions")
+        while True:
+            ready = state.groupBy(*place).agg(F.max("value").alias("level"), F.sum(F.col("value").isNull().cast("int")).alias("open")).where("open = 0")
+            ready = table(ready.select(*place, "level"), "level")
+            if not ready.limit(1).count():
+                break
+            known = known.union(ready)
+            left = state.join(ready.select(*place), place, "left_anti").join(ready.select("conv", F.col("turn").alias("to"), "level"), ["conv", "to"], "left")
+            state = table(left.select(*place, "to", "w", F.coalesce("value", F.col("level") + F.col("w")).alias("value")), "junctions")
+    ends = good.join(bound, ["conv", "to"], "left").join(known.select("conv", F.col("turn").alias("to"), "level"), ["conv", "to"], "left")
+    ends = ends.where("bound is null or level is not null").select(*place, (F.col("dist") + F.coalesce("level", F.lit(0))).alias("level"))
+    free = nodes.join(degree.select(*place), place, "left_anti").select(*place, F.lit(0).cast("long").alias("level"))
+    return free.union(known).union(ends).select(*place, F.col("level").cast("int").alias("level"))
 
 
 def link(messages: DataFrame, schemas: dict, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", calls: str = "calls", result_for: str = "result_for") -> DataFrame:

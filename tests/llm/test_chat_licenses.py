@@ -87,6 +87,41 @@ def test_canonical_numbers():
     assert chat.canonical({"\ufb33": 1, "\U0001f600": 2, "a": [1.0, None, True, "\n\u001f"]}) == '{"a":[1,null,true,"\\n\\u001f"],"\U0001f600":2,"\ufb33":1}'
 
 
+def test_levels_of_graphs(spark):
+    """Chains, junctions, cycles, what stands behind them and self-dependencies, against a plain search."""
+    rnd, edges = random.Random(7), []
+    for conv in range(12):
+        n = 40
+        for t in range(1, n):
+            for _ in range(rnd.choice((0, 1, 1, 1, 1, 2, 3))):
+                edges.append((conv, t, rnd.randrange(max(0, t - 3), t)))
+        if conv % 3 == 0:
+            a = rnd.randrange(5, 30)
+            edges += [(conv, a, a + 4), (conv, a + 4, a)]
+        if conv % 4 == 1:
+            edges.append((conv, 20, 20))
+    edges += [(99, t, t - 1) for t in range(1, 300)]
+    on, memo = {}, {}
+    for c, t, o in edges:
+        on.setdefault((c, t), set()).add((c, o))
+
+    def level(k, path=()):
+        if k in path:
+            return None
+        if k not in memo:
+            below = [level(x, (*path, k)) for x in sorted(on.get(k, ()))]
+            if None in below and path:
+                return None
+            memo[k] = None if None in below else 1 + max(below, default=-1)
+        return memo[k]
+
+    nodes = [(c, t) for c in range(12) for t in range(40)]
+    want = {k: v for k in nodes if (v := level(k)) is not None} | {(99, t): t for t in range(300)}
+    nodes += [(99, t) for t in range(300)]
+    got = chat.levels(spark.createDataFrame(edges, "conv long, turn long, on long"), spark.createDataFrame(nodes, "conv long, turn long"))
+    assert {(r.conv, r.turn): r.level for r in got.collect()} == want
+
+
 def test_repeated_identifiers_and_long_chains(spark):
     rows = [(1, 2 * i, "assistant", None, [call(f"c{i}", '{"x": 1}', [f"c{i - 1}", None] if i else None)], None, None) for i in range(12)]
     rows += [(1, 2 * i + 1, "tool", "é" * 200_000 if i == 3 else "r", None, f"c{i}", None) for i in range(12)]
