@@ -181,7 +181,7 @@ def score(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(~learn_from, F.lit(False)).alias("held_out"))
     train = rows.where(~F.col("held_out"))
-    pieces = max(12, docs.rdd.getNumPartitions())
+    pieces = max(12, 2 * docs.rdd.getNumPartitions())
     words = table(_counts(train, "text", False).groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # Each training text has one end token.
