@@ -86,7 +86,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = F.when(F.col("turn") >= 2, F.array(ident(2)))
     call = F.array(F.struct(ident(0).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), waits.alias("depends_on")))
     rows = rows.withColumn("calls", F.when(F.col("role") == "user", call)).withColumn("result_for", F.when((F.col("role") == "assistant") & (F.col("turn") > 0), ident(1)))
-    return chat.link(rows, REPLY)
+    return chat.link(rows, REPLY).withColumn("problems", F.array_join("problems", " | "))
 
 
 QUERIES |= {f.__name__: f for f in (op8_license_scan, op9_chat_format)}

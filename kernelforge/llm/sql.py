@@ -2,7 +2,7 @@
 
 They state the results plainly, over whole tables: op3 sums Poisson terms per source, op4 counts the
 shingles that documents share and closes links recursively, op6 joins windows by their words,
-and op10 names equal substrings by doubling their length.
+op9 follows each message's one dependency, and op10 names equal substrings by doubling their length.
 """
 
 from __future__ import annotations
@@ -68,4 +68,18 @@ SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, coal
     FROM documents LEFT JOIN sums USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": _MIX, "op4_minhash_neardup": _NEAR, "op6_decontamination": _CLEAN, "op10_suffix_dedup": _REPEATS}
+_CHAT = r"""
+WITH RECURSIVE d AS (SELECT c.*, c.conv_id || '-' || c.turn AS ident, c.role = 'user' AS call, coalesce(b.role = 'user' AND c.role = 'assistant', false) AS linked, coalesce(n.role = 'assistant', false) AS answered,
+    CASE WHEN c.role = 'assistant' AND b.role = 'user' THEN b.turn WHEN c.role = 'user' AND a.role = 'user' THEN CASE WHEN b.role = 'assistant' THEN b.turn ELSE a.turn END END AS dep
+    FROM conversations c LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1 LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 2 LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1),
+lv AS (SELECT conv_id, turn, 0 AS level FROM d WHERE dep IS NULL UNION ALL SELECT d.conv_id, d.turn, lv.level + 1 FROM d JOIN lv ON d.conv_id = lv.conv_id AND d.dep = lv.turn)
+SELECT d.conv_id, d.turn, role, level::INT AS level, CASE WHEN call THEN 1 ELSE 0 END::INT AS n_calls, linked,
+    concat_ws(' | ', CASE WHEN call AND text IS NULL THEN ident || ': missing text' END, CASE WHEN call AND length(text) NOT BETWEEN 1 AND 400 THEN ident || ': text has a wrong length' END, CASE WHEN call AND d.turn NOT BETWEEN 0 AND 5 THEN ident || ': turn is out of range' END,
+        CASE WHEN role = 'assistant' AND d.turn > 0 AND NOT linked THEN 'result without call' END, CASE WHEN call AND NOT answered THEN '1 calls without result' END) AS problems,
+    '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || to_json(role)::VARCHAR
+    || CASE WHEN role = 'assistant' AND d.turn > 0 THEN ',"tool_call_id":"' || d.conv_id || '-' || (d.turn - 1) || '"' ELSE '' END
+    || CASE WHEN call THEN ',"tool_calls":[{"arguments":{' || coalesce('"text":' || to_json(text)::VARCHAR || ',', '') || '"turn":' || d.turn || '}' || CASE WHEN d.turn >= 2 THEN ',"depends_on":["' || d.conv_id || '-' || (d.turn - 2) || '"]' ELSE '' END || ',"id":"' || ident || '","name":"reply"}]' ELSE '' END || '}' AS json
+FROM d LEFT JOIN lv ON lv.conv_id = d.conv_id AND lv.turn = d.turn
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": _MIX, "op4_minhash_neardup": _NEAR, "op6_decontamination": _CLEAN, "op9_chat_format": _CHAT, "op10_suffix_dedup": _REPEATS}

@@ -62,7 +62,7 @@ def test_chat_query(spark):
         if r.role == "assistant" and t > 0:
             body["tool_call_id"] = f"{c}-{t - 1}"
             problems += ["result without call"] * (not linked)
-        assert (r.linked, r.n_calls, r.level, r.problems) == (linked, int(r.role == "user"), level(k), problems)
+        assert (r.linked, r.n_calls, r.level, r.problems) == (linked, int(r.role == "user"), level(k), " | ".join(problems))
         assert r.json == json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert {r.level for r in got} >= set(range(6)) and any(r.problems for r in got)
 
