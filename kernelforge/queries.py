@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelforge.operators import dense, lowrank, solvers
+from kernelforge.operators.block_lu import BlockLU
 from kernelforge.operators.butterfly import Butterfly
 from kernelforge.operators.nested import Nested, ridge_fit, ridge_predict
 from kernelforge.operators.peeling import Peeled
@@ -242,12 +243,24 @@ def black_box(spark, sf_dir: str) -> DataFrame:
     return y.select("id", F.round(F.col("y")[0], 2).alias("y"))
 
 
+def blr_solve(spark, sf_dir: str) -> DataFrame:
+    """A direct solve by block LU of 8 to 16 tiles a side."""
+    p = points.parts(spark, sf_dir)
+    return BlockLU(p, "rbf", 0.3, 5.0, max(250, p.count() // 16), 1e-11).solve(p).select("id", F.round("w", 5).alias("w"))
+
+
+def blr_logdet(spark, sf_dir: str) -> DataFrame:
+    s = points.suppliers(spark, sf_dir)
+    phase, logabs = BlockLU(s, "laplacian", 0.1, 0.5, max(32, s.count() // 4), 1e-11).logdet()
+    return spark.createDataFrame([(round(phase.real), round(logabs, 6))], "sign long, logabs double")
+
+
 QUERIES = {f"multiply_{k}": _multiply(k, h) for k, (h, _) in FORMS.items()}
 QUERIES |= {f"cluster_{k}": _cluster(k) for k in ("natural", "ckd", "tm")}
 QUERIES |= {f.__name__: f for f in (norms, extract, nearest, gram_distance, tree_shape, hodlr_plan, h_plan, blr_plan, near_nearest, cluster_lineitem, cluster_gram, periodic_plan)}
 QUERIES |= {f.__name__: f for f in (hodlr_multiply_parts, h_multiply, hodlr_multiply_complex, hodlr_solve, hodlr_solve_preconditioned, hodlr_logdet, hodlr_entries, hodlr_structure, ridge, composed, eigenvalues)}
 QUERIES |= {f"solve_{m}": _solve(m) for m in ("gmres", "tfqmr")}
-QUERIES |= {"stored_multiply": _stored("merged"), "stored_multiply_transposed": _stored("batch_aca", True), "far_norms": far_norms, "butterfly_fourier": _waves("fourier"), "butterfly_fio": _waves("fio"), "black_box": black_box}
+QUERIES |= {"stored_multiply": _stored("merged"), "stored_multiply_transposed": _stored("batch_aca", True), "far_norms": far_norms, "butterfly_fourier": _waves("fourier"), "butterfly_fio": _waves("fio"), "black_box": black_box, "blr_solve": blr_solve, "blr_logdet": blr_logdet}
 
 
 _PARTS = "SELECT p_partkey AS id, p_size/50.0 AS x1, p_retailprice/2000.0 AS x2, p_partkey % 7 / 7.0 AS w FROM part"
@@ -377,3 +390,4 @@ ORACLE_SQL |= {
     f"butterfly_{name}": f"WITH c AS (SELECT count(*) AS n FROM part), p AS (SELECT p_partkey AS id, (p_partkey - 1)/n::DOUBLE AS x, (p_partkey - 1 - n // 2)::DOUBLE AS k, p_partkey % 7 / 7.0 AS w FROM part, c) SELECT id, round(sum(cos(f) * w), 2) AS y, round(sum(sin(f) * w), 2) AS yi FROM (SELECT a.id, b.w, 2*pi()*({phase}) AS f FROM p a, p b) GROUP BY id"
     for name, phase in (("fourier", "-a.x*b.k"), ("fio", "a.x*b.k + (2 + sin(2*pi()*a.x))/8*abs(b.k)"))
 }
+ORACLE_SQL |= {"blr_solve": ORACLE_SQL["hodlr_solve"], "blr_logdet": ORACLE_SQL["hodlr_logdet"]}

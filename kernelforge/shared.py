@@ -41,6 +41,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that are written part by part; it goes when the process ends."""
+    path = f"{shared_dir(spark)}/core-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df dealt by keys to as many partitions as the session names, however few bytes it has: for rows that are much work each, which adaptive execution would put together."""
     return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
