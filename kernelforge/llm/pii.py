@@ -24,6 +24,8 @@ from kernelforge.llm.shared import table
 
 KINDS = ("email", "ip", "card", "phone")
 ADD = 0.9
+#: Characters before a match that its labelers see.
+CONTEXT = 30
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Possessive and anchored forms of the base patterns: the same matches without backtracking over long runs.
 BASE = {
@@ -50,17 +52,25 @@ GAZETTEER = {
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of a pattern's matches in order, from the lengths of matches and gaps."""
+    """array<struct<start, end, text, before, after>> of a pattern's matches in order, from the lengths of matches and gaps.
+
+    before holds the CONTEXT characters ahead of a match and after the one behind it; they come from the gaps, so that no match walks the text again.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    last = lambda c: F.substring(c, -CONTEXT, CONTEXT)
+    kind = "array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start, before = acc["at"] + F.length(x["g"]), last(F.concat(acc["tail"], last(x["g"])))
+        end = start + F.length(x["m"])
+        after = F.when(F.length(x["n"]) > 0, F.substring(x["n"], 1, 1)).otherwise(F.coalesce(F.substring(x["s"], 1, 1), F.lit("")))
+        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["m"].alias("text"), before.alias("before"), after.alias("after"))
+        return F.struct(end.cast("long").alias("at"), last(F.concat(before, last(x["m"]))).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
+
     return F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,text:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).cast("long").alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"), x["m"].alias("text")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), F.slice(gaps, 2, F.size(found)).alias("n"), F.slice(found, 2, F.size(found)).alias("s")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as {kind})").alias("out")), step, lambda acc: acc["out"],
+    )
 
 
 def _luhn(text: Column) -> Column:
@@ -79,9 +89,8 @@ def _passes(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, text: Column, x: Column, base: bool) -> Column:
-    before = F.substring(text, F.greatest(F.lit(1), (x["start"] - 29).cast("int")), F.least(F.lit(30), x["start"].cast("int")))
-    after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(1))
+def _votes(kind: str, x: Column, base: bool) -> Column:
+    before, after = x["before"], x["after"]
     clean = ((F.length(before) == 0) | before.rlike(r"[\s(\[<\"':;,.|=]$")) & ((F.length(after) == 0) | after.rlike(r"[\s)\]>\"':;,.|!?]"))
     shape = x["text"].rlike(r"[0-9]{3,4}[ .-][0-9]{4}$" if kind in ("card", "phone") else r"[.:][A-Za-z0-9]{1,6}$")
     return F.struct(
@@ -99,7 +108,7 @@ def proposals(docs: DataFrame, text: str = "text", into: str = "proposed") -> Da
     def of(k: str, pattern: str, need: str, base: bool) -> Column:
         spans = _spans(whole, pattern)
         spans = F.filter(spans, lambda x: _passes(k, x["text"])) if base else spans
-        return F.when(whole.rlike(need), F.transform(spans, lambda x: _votes(k, whole, x, base)).cast(kind)).otherwise(none)
+        return F.when(whole.rlike(need), F.transform(spans, lambda x: _votes(k, x, base)).cast(kind)).otherwise(none)
 
     docs = docs.drop(into).withColumn("__base", F.concat(*(of(k, BASE[k], NEEDS[k][0], True) for k in KINDS)))
     loose = F.concat(*(of(k, LOOSE[k], NEEDS[k][1], False) for k in KINDS))
