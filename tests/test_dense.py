@@ -40,6 +40,16 @@ def test_blocks_of_many_coordinates(wide, kernel):
     assert np.allclose(kernels.block(kernel, x, x, 1.0), want, rtol=1e-9, atol=0)
 
 
+def test_composed_operators_are_applied_once(wide):
+    x, df = wide
+    k = dense.operator(df, "rbf", 1.0, 0.0, 64)
+    made = solvers.chained(solvers.shifted(k, 1.0), k)(df.select("id", "w"))
+    assert plan(made).count("MapInArrow") == 1
+    a = kernels.block("rbf", x, x, 1.0)
+    w, y = np.array([i % 5 - 2 for i in range(300)]), {r.id: r.y for r in made.collect()}
+    assert np.allclose([y[i] for i in range(300)], a @ (a @ w) + a @ w)
+
+
 def test_operator_with_missing_and_unknown_ids(spark, wide):
     x, df = wide
     apply = dense.operator(df, "rbf", 1.0, 2.0, 64)
