@@ -1,0 +1,51 @@
+"""Blocks are compressed from few of their entries and applied where they are made."""
+
+import numpy as np
+import pytest
+from kernelforge.functions import kernels
+from kernelforge.operators import lowrank
+from kernelforge.plans import blocks
+from kernelforge.plans.cluster import cluster, tree
+
+
+@pytest.mark.parametrize("method,transpose", [("merged", False), ("batch_aca", True)])
+def test_applied_is_the_product(spark, method, transpose):
+    x = np.random.default_rng(4).random((300, 2))
+    df = spark.createDataFrame([(i, p.tolist(), float(i % 5)) for i, p in enumerate(x) if i != 8], "id long, x array<double>, w double")
+    c = cluster(df.select("id", "x"), 20, "ckd")
+    w = df.where("id <> 7").select("id", "w").union(spark.createDataFrame([(999, 1.0)], "id long, w double"))
+    got = {r["id"]: r["y"] for r in lowrank.applied(c, blocks.hierarchical(tree(c), 2.1), "inverse_multiquadric", 1.0, 1e-12, w, method, 2.0, transpose).collect()}
+    v = np.array([i % 5 * (i not in (7, 8)) for i in range(300)], float)
+    want = kernels.block("inverse_multiquadric", x, x, 1.0) @ v + 2 * v
+    assert sorted(got) == [i for i in range(300) if i != 8] and max(abs(got[i] - want[i]) for i in got) < 1e-8
+
+
+def test_applied_without_blocks(spark):
+    c = cluster(spark.createDataFrame([(1, [0.5])], "id long, x array<double>"), 20, "ckd")
+    w = spark.createDataFrame([(1, 2.0)], "id long, w double")
+    plan = blocks.hierarchical(tree(c), 2.1)
+    assert [tuple(r) for r in lowrank.applied(c, plan, "rbf", 1.0, 1e-6, w).collect()] == [(1, 2.0)]
+    assert lowrank.applied(c, plan.limit(0), "rbf", 1.0, 1e-6, w).count() == 0
+
+
+def test_merged_reads_few_entries():
+    rnd, read = np.random.default_rng(5), [0]
+    x, y = rnd.random((1500, 2)), rnd.random((1600, 2)) + 3
+
+    def get(i, j):
+        read[0] += len(i) * len(j)
+        return kernels.block("inverse_multiquadric", x[i], y[j], 1.0)
+
+    u, v = lowrank.METHODS["merged"](get, np.arange(1500), np.arange(1600), 1e-12)
+    assert read[0] < 1500 * 1600
+    want = kernels.block("inverse_multiquadric", x, y, 1.0)
+    assert np.linalg.norm(u @ v - want) < 1e-10 * np.linalg.norm(want)
+
+
+def test_batches_are_right_on_small_blocks():
+    rnd = np.random.default_rng(6)
+    for n in (20, 40, 300):
+        x, y = rnd.random((n, 2)) * 0.3, rnd.random((n, 2)) * 0.3 + [0.4, 0.1]
+        u, v = lowrank.METHODS["batch_aca"](lambda i, j, x=x, y=y: kernels.block("inverse_multiquadric", x[i], y[j], 1.0), np.arange(n), np.arange(n), 1e-12)
+        want = kernels.block("inverse_multiquadric", x, y, 1.0)
+        assert np.linalg.norm(u @ v - want) < 1e-11 * np.linalg.norm(want)
